@@ -12,9 +12,10 @@ coordinate with probability equal to their weighted Jaccard similarity.
 
 32 bands of 6 coordinates find a pair at similarity 0.8 with probability
 0.9999. Equal texts are one node. In each bucket all members are checked
-against one hashed pivot (a different one in every band), then members of
-*different* components that share a bucket are checked pair by pair: what is
-left out is only pairs already known to be connected.
+against one hashed pivot (a different one in every band). Where a bucket then
+still holds several components, all its pairs across components are compared,
+block against block: what is left out is only pairs already known to be
+connected, and no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from tessera.llm.components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
+BLOCK = 512
 SLICE_BYTES = 1 << 20
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -164,6 +166,71 @@ def verify(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame
     return joined.select("u", "v", "eu", "ev").mapInArrow(run, "u long, v long").distinct()
 
 
+def similar_pairs(elements: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(i of left, j of right)`` whose element sets reach the threshold; all intersections exactly, by sparse columns."""
+    sizes = np.array([len(e) for e in elements], np.int64)
+    row = np.repeat(np.arange(len(elements)), sizes)
+    _, column, held = np.unique(np.concatenate([*elements, np.zeros(0, np.uint32)]), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        dense = np.zeros((len(elements), width), np.float32)
+        dense[row[a:b], column[a:b] - low] = 1
+        both += dense[left] @ dense[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    return np.nonzero((union > 0) & (both >= threshold * union - 1e-6))
+
+
+def block_links(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links between different components of ``placed(bucket, size, id, component, elements)`` inside each bucket.
+
+    A bucket is dealt into hashed blocks; a pair of blocks is one group of at
+    most a few times ``block`` rows. Inside, every pair across components is
+    compared exactly, and only links that join two components are returned.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
+    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "elements")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        component = group.column("component").to_numpy()
+        held = [np.frombuffer(x, np.uint32) for x in group.column("elements").to_pylist()]
+        parts = np.unique(group.column("own").to_numpy(), return_inverse=True)[1]
+        left, right = np.flatnonzero(parts == 0), np.flatnonzero(parts == parts.max(initial=0))
+        name = np.unique(component, return_inverse=True)[1]
+        u: list[int] = []
+        v: list[int] = []
+        if len(ids) and name.max() > 0:
+            a, b = similar_pairs(held, left, right, threshold)
+            a, b = left[a], right[b]
+            across = name[a] != name[b]
+            root = list(range(int(name.max()) + 1))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for x, y in zip(a[across].tolist(), b[across].tolist(), strict=True):
+                p, q = find(int(name[x])), find(int(name[y]))
+                if p != q:
+                    root[p] = q
+                    u.append(max(ids[x], ids[y]))
+                    v.append(min(ids[x], ids[y]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
 def classes(
     spark: SparkSession, docs: DataFrame, unit: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -191,10 +258,8 @@ def classes(
     first = materialise(spark, components(spark, links), "first")
     placed = member.where("size > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    placed = materialise(spark, placed.where("id <> pivot").join(mixed, "bucket", "left_semi").select("bucket", "id", "component"), "placed")
-    other = placed.select("bucket", F.col("id").alias("id2"), F.col("component").alias("component2"))
-    rest = placed.join(other, "bucket").where("component < component2").select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct()
-    more = verify(rest, elements, threshold)
+    placed = placed.join(mixed, "bucket", "left_semi").join(elements, "id")
+    more = block_links(placed, threshold)
     whole = components(spark, links.union(more).union(same))
     text_of = copies.groupBy("id").agg(F.min("rep").alias("node")).join(whole, "node", "left").select("id", F.coalesce("component", "node").alias("class_id"))
     return docs.select(unit).join(text_of, F.col(unit) == F.col("id"), "left").select(unit, F.coalesce("class_id", F.col(unit)).alias("class_id"))
