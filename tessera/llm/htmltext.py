@@ -60,6 +60,8 @@ CUT_WORDS = frozenset(
     "newsletter subscribe subscription signup signin login register share sharing social socials related recommended recommendations trending popular "
     "widget widgets form search searchbox copyright legal disclaimer tags tagcloud".split()
 )
+#: A class that begins so describes a container by what it holds or lacks.
+MODIFIERS = frozenset("has with without no is".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<[!?][^>]*>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'<>]+)""")
@@ -80,7 +82,7 @@ class Node:
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
 
 
-def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
+def _boilerplate(tag: str, attributes: str, parent: Node, by_name: bool) -> bool:
     if tag in CUT_TAGS:
         return True
     if tag == "header" and not parent.in_article:
@@ -97,14 +99,17 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
         if name == "role" and value.lower().strip() in CUT_ROLES:
             return True
         if name in ("class", "id"):
-            named = {w.lower() for w in _WORD.findall(value)}
+            if not by_name:
+                continue
+            each = [[w.lower() for w in _WORD.findall(name)] for name in value.split()]
+            named = {w for ws in each if ws and ws[0] not in MODIFIERS for w in ws}
             if named & CUT_WORDS and not (tag in HEADINGS or tag == "header" or named & {"article", "content", "post", "story", "entry"} and not named & {"comment", "comments", "sidebar", "footer", "related", "ad", "ads", "nav", "menu", "share"}):
                 return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The page as a tree of block elements with text runs."""
+def parse(page: str, by_name: bool = True) -> Node:
+    """The page as a tree of block elements with text runs; ``by_name``: classes and ids can name boilerplate."""
     root = Node("#root", None)
     here, at, links, end = root, 0, 0, len(page)
     lowered = None
@@ -176,7 +181,7 @@ def parse(page: str) -> Node:
             if tag in ("html", "body") and here.tag in ("html", "body", "#root"):
                 if here.tag == tag:
                     continue
-            node = Node(tag, here, _boilerplate(tag, m[3], here))
+            node = Node(tag, here, _boilerplate(tag, m[3], here, by_name))
             here.items.append(node)
             if not (m[4] and tag not in BLOCKS):
                 here = node
@@ -227,9 +232,12 @@ def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by a blank line; empty if there is none."""
     if not page:
         return ""
-    root = parse(page)
     blocks: list[tuple[str, Node, int]] = []
+    root = parse(page)
     _blocks(root, blocks)
+    if not blocks:  # perhaps a wrapper of the whole page has a name like boilerplate
+        root = parse(page, by_name=False)
+        _blocks(root, blocks)
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
@@ -272,6 +280,8 @@ def main_text(page: str | None) -> str:
     for text, owner, link in blocks:
         node, inside, dense = owner, False, False
         while node is not None:
+            if node.tag == "header" and owner.tag not in HEADINGS:  # of an article: its title stays, the rest is no text
+                break
             if id(node) in kept:
                 inside = True
                 break

@@ -260,3 +260,24 @@ def test_odd_pages(page):
 def test_short_articles_and_plain_text():
     assert htmltext.main_text("<body><nav>m</nav><article><p>Hi.</p></article><footer>f</footer>") == "Hi."
     assert htmltext.main_text("plain  words") == "plain words"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<body class="has-sidebar"><div class="page with-ads"><div class="article-content"><p>One, two.</p></div></div></body>', "One, two."),
+        ('<div class="footer"><p>All there is.</p></div>', "All there is."),
+        ("<article><header><h1>T</h1><p>By X</p></header><p>Text.</p><footer>tags</footer></article>", "T\n\nText."),
+        ("<article><p>1 < 2 &amp;lt; &#x41;</p><!-- <p>no</p> --><p title='a>b'>Two<br>lines</p></article>", "1 < 2 &lt; A\n\nTwo lines"),
+        ('<article><p>Long, enough, text, here.</p></article><section id="comments"><article class="comment"><p>a, b, c, d, e, f, g</p></article></section>', "Long, enough, text, here."),
+        ("<main><section><h2>A</h2><p>x, y</p></section><section><h2>B</h2><p>x, y</p></section></main>", "A\n\nx, y\n\nB\n\nx, y"),
+    ],
+)
+def test_layouts(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_sentences_of_a_page_all_stay():
+    paragraphs = [f"Paragraph {k}, " + "word " * (k % 7 * 20) + "end." for k in range(60)]
+    page = "<nav>m</nav><article>" + "".join(f"<p>{p}" for p in paragraphs) + "</article><div class=ad>x</div>"
+    assert htmltext.main_text(page) == "\n\n".join(" ".join(p.split()) for p in paragraphs)
