@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import collapse, dedup_first, fsn_tag, fsn_term, is_english, local_name
@@ -56,8 +56,10 @@ def _related(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """``(iri, labels)`` of ``edges(iri, ord, other)``, in order, unlabelled ones dropped."""
     once = edges.groupBy("iri", "other").agg(F.min("ord").alias("ord"))
     named = once.join(labels.select(F.col("iri").alias("other"), "label"), "other")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "other", "label"))), lambda x: x["label"])
-    return named.groupBy("iri").agg(F.slice(dedup_first(listed), 1, most).alias("labels"))
+    # first of each spelling, then the first few: a hub's whole neighbourhood is never gathered
+    spelled = named.groupBy("iri", F.lower("label").alias("spelling")).agg(F.min_by("label", F.struct("ord", "other")).alias("label"), F.min(F.struct("ord", "other")).alias("at"))
+    first = spelled.withColumn("n", F.row_number().over(Window.partitionBy("iri").orderBy("at"))).where(F.col("n") <= most)
+    return first.groupBy("iri").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]).alias("labels"))
 
 
 def build_entities(axioms: DataFrame, roles: DataFrame, needed: DataFrame, most: int = MAX_RELATED) -> DataFrame:

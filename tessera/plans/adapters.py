@@ -34,6 +34,11 @@ def _buckets(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame.agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count(F.lit(1)) / rows)).alias("buckets")))
 
 
+def with_bucket(frame: DataFrame, key: str, rows: int) -> DataFrame:
+    """``frame`` with a hash bucket of about ``rows`` rows."""
+    return frame.join(_buckets(frame, rows)).withColumn("bucket", _bucket("p|", key, F.col("buckets"))).drop("buckets")
+
+
 def gold_documents(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
     """``(item_id, gold)``: the smallest document that holds the item verbatim.
 

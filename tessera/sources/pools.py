@@ -27,7 +27,7 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     placed = lines.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_in", F.monotonically_increasing_id())
     sizes = placed.groupBy("_block").agg(F.min("_in").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(before.select("_block", "_first", "_before")), "_block").withColumn("ord", F.col("_before") + F.col("_in") - F.col("_first")).drop("_block", "_in", "_first", "_before")
+    return placed.join(before.select("_block", "_first", "_before"), "_block").withColumn("ord", F.col("_before") + F.col("_in") - F.col("_first")).drop("_block", "_in", "_first", "_before")
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
