@@ -36,8 +36,8 @@ from tessera.llm._words import slices, text_array
 
 MARK = "▁"
 SLICE_BYTES = 1 << 20
-#: Encodings of words that a worker remembers.
-MEMORY = 300_000
+#: Encodings of words, and answers about neighbouring pieces, that a worker remembers.
+MEMORY, NEIGHBOURS = 250_000, 300_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNIGRAM, BPE = 1, 2, 3, 4, 6, 1, 2
 _NONE = float("inf")
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
@@ -136,6 +136,8 @@ class PieceTransducer:
         key = left << 24 | right
         found = self.allowed.get(key)
         if found is None:
+            if len(self.allowed) >= NEIGHBOURS:
+                self.allowed.clear()
             found = self.allowed[key] = self.merged(self.text_of[left] + self.text_of[right]) == [left, right]
         return found
 
@@ -275,6 +277,16 @@ class PieceTransducer:
         return b"".join([of[k] for k in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
+_COMPILED: dict[str, PieceTransducer] = {}
+
+
+def compiled(vocabulary: str) -> PieceTransducer:
+    """The transducer of a file, compiled once in a worker process and kept with what it remembers."""
+    if vocabulary not in _COMPILED:
+        _COMPILED[vocabulary] = PieceTransducer(vocabulary)
+    return _COMPILED[vocabulary]
+
+
 _ADDED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
 
@@ -289,7 +301,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = "/opt/tokenize
     schema = T.StructType([*docs.select(*carried).schema.fields, *_ADDED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = PieceTransducer(vocabulary)
+        machine = compiled(vocabulary)
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 flat, sizes, same = array("i"), [], []
@@ -313,7 +325,7 @@ def decode(frame: DataFrame, ids: str = "ids", vocabulary: str = "/opt/tokenizer
     schema = frame.select(*carried).withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = PieceTransducer(vocabulary)
+        machine = compiled(vocabulary)
         for batch in batches:
             texts = [None if x is None else machine.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(texts, pa.string())], names=[*carried, out])
