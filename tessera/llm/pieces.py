@@ -136,9 +136,9 @@ class PieceTransducer:
         key = left << 24 | right
         found = self.allowed.get(key)
         if found is None:
-            if len(self.allowed) >= NEIGHBOURS:
-                self.allowed.clear()
-            found = self.allowed[key] = self.merged(self.text_of[left] + self.text_of[right]) == [left, right]
+            found = self.merged(self.text_of[left] + self.text_of[right]) == [left, right]
+            if len(self.allowed) < NEIGHBOURS:  # frequent ones come early
+                self.allowed[key] = found
         return found
 
     def shortest_path(self, text: str) -> list[int]:
