@@ -30,11 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    atexit.register(_drop, spark, path.rpartition("/")[0])
+    atexit.register(drop, spark, path.rpartition("/")[0])
     return path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

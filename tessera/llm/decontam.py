@@ -17,8 +17,10 @@ is within ``floor(rate * m)`` word edits of it.
 4. The edit distance of the item to the best stretch around each passing
    window is computed exactly.
 
-The benchmark is read in blocks of bounded size, so what is shipped to the
-executors never outgrows that bound.
+The benchmark is read in blocks of bounded size, one pass over the documents
+for each; every pass but the last is written to the shared folder before the
+next block is shipped, so executors hold one block at a time however many
+items there are. A benchmark of one block takes one narrow pass.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm._store import drop, scratch_path
 from tessera.llm._words import ALNUM, U64, SortedHash, mix, slices, words
 
 EDIT_RATE = 0.2
@@ -54,24 +58,32 @@ def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
 def sampled_walks(sequence: np.ndarray, start: np.ndarray, stop: np.ndarray, sizes: np.ndarray, repetitions: int, samples: int) -> np.ndarray:
     """LSH keys (places x repetitions) of the stretches ``sequence[start:stop]`` for items of ``sizes`` words."""
     n = len(start)
-    pointer = np.repeat(start[:, None], repetitions, 1)
-    keys = np.zeros((n, repetitions), U64)
     if not n:
-        return keys
+        return np.zeros((n, repetitions), U64)
     salt = mix(np.arange(1, repetitions + 1, dtype=U64) * U64(_GOLD))
     # the sampled steps of each repetition, by item size
     chosen = np.stack([mix(salt[None, :] + U64(s + 1) * _END) % (3 * sizes[:, None]).astype(U64) for s in range(samples)], 2).astype(np.int64)
+    # a walk ends with its last sampled step; the longest walks come first, so that those under way are a prefix
+    last = chosen.max((1, 2))
+    order = np.argsort(-last, kind="stable")
+    chosen, last, stop = chosen[order], last[order], stop[order][:, None]
+    pointers = np.repeat(start[order][:, None], repetitions, 1)
+    keys = np.zeros((n, repetitions), U64)
     padded = np.append(sequence, _END)
-    for step in range(int(3 * sizes.max())):
-        inside = pointer < stop[:, None]
+    for step in range(int(last[0]) + 1):
+        live = int(np.searchsorted(-last, -step, side="right"))
+        pointer, own = pointers[:live], keys[:live]
+        inside = pointer < stop[:live]
         word = np.where(inside, padded[np.minimum(pointer, len(sequence))], _END)
         for s in range(samples):
-            now = chosen[:, :, s] == step
+            now = chosen[:live, :, s] == step
             if now.any():
-                keys[now] += mix(word[now] ^ U64((step + 1) * 0x9E3779B9 & 0xFFFFFFFF))
+                own[now] += mix(word[now] ^ U64((step + 1) * 0x9E3779B9 & 0xFFFFFFFF))
         bit = (mix(word ^ (salt[None, :] + U64((step * _GOLD) & 0xFFFFFFFFFFFFFFFF))) >> U64(40)) & U64(1)
-        pointer = pointer + (inside & (bit == 1))
-    return keys
+        pointer += inside & (bit == 1)
+    out = np.empty_like(keys)
+    out[order] = keys
+    return out
 
 
 def edit_distance(item: np.ndarray, stretch: np.ndarray) -> int:
@@ -189,23 +201,44 @@ def find_items(
     nothing, an empty table gives an empty result. Columns of the input with
     clashing names are replaced; ``text`` comes along on request.
     """
-    carried = [c for c in docs.columns if c not in _ADDED.fieldNames() and (with_text or c != text)]
-    shipped = [spark.sparkContext.broadcast(Items(i, t, rate)) for i, t in item_blocks(benchmark, item, item_text, block_bytes)]
+    kept = [c for c in docs.columns if c not in _ADDED.fieldNames() and c != text]
+    blocks = item_blocks(benchmark, item, item_text, block_bytes)
+    found, written, block = docs, None, next(blocks, ([], []))
+    while True:
+        following = next(blocks, None)
+        shipped = spark.sparkContext.broadcast(Items(*block, rate))
+        found = _scan(found, shipped, text, [c for c in docs.columns if c in kept or c == text and (with_text or following is not None)], found is not docs)
+        if following is None:
+            return found
+        path = scratch_path(spark, "finds")
+        found.write.parquet(path)
+        shipped.destroy()
+        if written:
+            drop(spark, written)
+        found, written, block = spark.read.schema(found.schema).parquet(path), path, following
+
+
+def _scan(docs: DataFrame, shipped: Broadcast, text: str, carried: list[str], again: bool) -> DataFrame:
+    """One pass with one block of items; ``again``: adds to the finds that ``docs`` has from passes before."""
     schema = T.StructType([*docs.select(*carried).schema.fields, *_ADDED.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shipped.value
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 hashes, counts = words(part.column(text), ALNUM)
-                own: list[dict[int, int]] = [{} for _ in range(part.num_rows)]
-                for block in shipped:
-                    for r, i, d in block.value.matches(hashes, counts):
-                        key = int(block.value.ids[i])
-                        own[r][key] = min(d, own[r].get(key, d))
+                if again:
+                    own = [dict(zip(i, e, strict=True)) for i, e in zip(part.column("item_ids").to_pylist(), part.column("edits").to_pylist(), strict=True)]
+                else:
+                    own = [{} for _ in range(part.num_rows)]
+                for r, i, d in items.matches(hashes, counts):
+                    key = int(items.ids[i])
+                    own[r][key] = min(d, own[r].get(key, d))
                 ids = [sorted(x) for x in own]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in carried), pa.array([bool(x) for x in own]), pa.array(ids, pa.list_(pa.int64())), pa.array([[x[k] for k in y] for x, y in zip(own, ids, strict=True)], pa.list_(pa.int32()))],
                     names=[*carried, *_ADDED.fieldNames()],
                 )
 
-    return docs.select(*carried, *([] if with_text else [text])).mapInArrow(run, schema)
+    read = [*carried, *([] if text in carried else [text]), *(["item_ids", "edits"] if again else [])]
+    return docs.select(*read).mapInArrow(run, schema)

@@ -133,6 +133,18 @@ def test_decontamination_recall_on_edited_passages():
     assert list(found.matches(*words(pa.array(clean), ALNUM))) == []
 
 
+def test_walks_do_not_depend_on_their_neighbours():
+    rng = np.random.default_rng(3)
+    sequence = rng.integers(1, 9, 400).astype(np.uint64)
+    sizes = np.array([1, 50, 3, 200, 3, 17], np.int64)
+    start = np.array([0, 10, 399, 150, 20, 60], np.int64)
+    stop = np.minimum(start + sizes, 400)
+    together = decontam.sampled_walks(sequence, start, stop, sizes, 8, 2)
+    alone = [decontam.sampled_walks(sequence, start[[k]], stop[[k]], sizes[[k]], 8, 2)[0] for k in range(6)]
+    assert np.array_equal(together, np.stack(alone)) and len(np.unique(together)) > 30
+    assert decontam.sampled_walks(sequence, start[:0], stop[:0], sizes[:0], 8, 2).shape == (0, 8)
+
+
 @pytest.fixture(scope="module")
 def machines():
     return pieces.PieceTransducer(VOCABULARY), sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)

@@ -229,6 +229,10 @@ def test_decontamination_edges(spark):
     assert sorted((r.doc_id, r.contaminated, r.item_ids) for r in got.collect()) == [(1, True, [1, 4]), (2, False, []), (3, False, []), (4, True, [1]), (4, True, [1]), (5, False, [])]
     blocks = decontam.find_items(spark, docs, bench, block_bytes=1)
     assert sorted(map(str, blocks.collect())) == sorted(map(str, got.collect()))
+    texts = decontam.find_items(spark, docs, bench, with_text=True, block_bytes=60)
+    assert texts.columns == ["doc_id", "text", "contaminated", "item_ids", "edits"]
+    assert sorted(map(str, texts.drop("text").collect())) == sorted(map(str, got.collect()))
+    assert sorted(str(r.text) for r in texts.collect()) == sorted(str(r.text) for r in docs.collect())
     assert not any(r.contaminated for r in decontam.find_items(spark, docs, bench.limit(0)).collect())
     assert decontam.find_items(spark, docs.limit(0), bench).count() == 0
 
