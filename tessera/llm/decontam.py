@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from tessera.llm._store import drop, scratch_path
 from tessera.llm._words import ALNUM, U64, SortedHash, mix, slices, words
+from tessera.llm._worker import task
 
 EDIT_RATE = 0.2
 REPETITIONS, SAMPLES = 24, 2
@@ -241,4 +242,4 @@ def _scan(docs: DataFrame, shipped: Broadcast, text: str, carried: list[str], ag
                 )
 
     read = [*carried, *([] if text in carried else [text]), *(["item_ids", "edits"] if again else [])]
-    return docs.select(*read).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(task("decontam", run), schema)

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from tessera.llm._store import materialise
 from tessera.llm._words import NON_SPACE, U64, mix, shingles, slices, words
+from tessera.llm._worker import enter, task
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -139,7 +140,7 @@ def features(docs: DataFrame, unit: str, text: str, bands: int, rows: int, size:
                     names=[f.name for f in _FEATURES],
                 )
 
-    return docs.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _FEATURES)
+    return docs.where(F.col(text).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(task("neardup", run), _FEATURES)
 
 
 def verify(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
@@ -163,7 +164,7 @@ def verify(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([us.filter(mask), vs.filter(mask)], names=["u", "v"])
 
-    return joined.select("u", "v", "eu", "ev").mapInArrow(run, "u long, v long").distinct()
+    return joined.select("u", "v", "eu", "ev").mapInArrow(task("neardup", run), "u long, v long").distinct()
 
 
 def similar_pairs(elements: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +201,7 @@ def block_links(placed: DataFrame, threshold: float, block: int = BLOCK) -> Data
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "elements")
 
     def run(group: pa.Table) -> pa.Table:
+        enter("neardup")
         ids = group.column("id").to_numpy()
         component = group.column("component").to_numpy()
         held = [np.frombuffer(x, np.uint32) for x in group.column("elements").to_pylist()]

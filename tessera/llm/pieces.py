@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._words import slices, text_array
+from tessera.llm._worker import held, task
 
 MARK = "▁"
 SLICE_BYTES = 1 << 20
@@ -277,14 +278,9 @@ class PieceTransducer:
         return b"".join([of[k] for k in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
-_COMPILED: dict[str, PieceTransducer] = {}
-
-
 def compiled(vocabulary: str) -> PieceTransducer:
-    """The transducer of a file, compiled once in a worker process and kept with what it remembers."""
-    if vocabulary not in _COMPILED:
-        _COMPILED[vocabulary] = PieceTransducer(vocabulary)
-    return _COMPILED[vocabulary]
+    """The transducer of a file, compiled once in a worker process and kept with what it remembers until another operator runs there."""
+    return held("pieces", vocabulary, lambda: PieceTransducer(vocabulary))
 
 
 _ADDED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
@@ -316,7 +312,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = "/opt/tokenize
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)), mask=none)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(sizes, pa.int64()), lists, pa.array(same)], names=[*carried, *_ADDED.fieldNames()])
 
-    return docs.select(*carried, text).mapInArrow(run, schema)
+    return docs.select(*carried, text).mapInArrow(task("pieces", run), schema)
 
 
 def decode(frame: DataFrame, ids: str = "ids", vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model", out: str = "text") -> DataFrame:
@@ -330,4 +326,4 @@ def decode(frame: DataFrame, ids: str = "ids", vocabulary: str = "/opt/tokenizer
             texts = [None if x is None else machine.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(texts, pa.string())], names=[*carried, out])
 
-    return frame.select(*carried).mapInArrow(run, schema)
+    return frame.select(*carried).mapInArrow(task("pieces", run), schema)

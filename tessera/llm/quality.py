@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._words import slices, text_array
+from tessera.llm._worker import task
 
 SLICE_BYTES = 1 << 20
 SYMBOLS = "#*$%&|<>"
@@ -167,4 +168,4 @@ def assess(docs: DataFrame, text: str = "text", vocabulary: str = "/opt/tokenize
                     names=[*carried, *ADDED],
                 )
 
-    return docs.select(*carried, *([] if with_text else [text])).mapInArrow(run, schema)
+    return docs.select(*carried, *([] if with_text else [text])).mapInArrow(task("quality", run), schema)
