@@ -4,11 +4,15 @@ Base rules count words, symbols and repetition. Fertility asks how a public
 vocabulary takes the text: characters per token (gibberish, keys and encoded
 data fall apart into short tokens), the share of byte-fallback tokens
 (characters that the vocabulary doesn't know) and the entropy of the tokens
-(a text of a few repeated tokens has little). Each script has its own bands.
+(a text of a few repeated tokens has little). Each script has fixed outer
+bands. A second public vocabulary, byte-level, spells junk in shorter tokens
+than clean text of the same language; how short is too short comes from the
+corpus itself, see ``bounds``.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,17 +20,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._store import materialise
 from tessera.llm._words import slices, text_array
-from tessera.llm._worker import task
+from tessera.llm._worker import held, task
 
 SLICE_BYTES = 1 << 20
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 WINDOW = 5
 MOST_REPEATED_PERCENT = 20
+#: The corpus bound of a language: this share of its texts at most, and only what lies so many quartile ranges below the lower quartile.
+TAIL = 0.02
+FENCE = 3.0
+#: Characters that the second vocabulary takes at once; its splitter fails on longer runs of blanks.
+PIECE_CHARS = 50_000
+#: How the second vocabulary's files split text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MARKS = re.compile(r"[ \t-\r]")
 #: First code point of a run of scripts, and the band that holds from there.
 _SCRIPTS = ((0, "latin"), (0x250, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "semitic"), (0x780, "other"), (0x900, "indic"), (0x1100, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "cjk"), (0xA000, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0x20000, "cjk"), (0x2FA20, "other"))
@@ -132,40 +144,98 @@ class Fertility:
         return n, np.array([len(t) for t in texts]) / np.maximum(n, 1), shares, entropy
 
 
-ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "kept")
+class RankFertility:
+    """Characters per token and token entropy by a byte-level vocabulary of merge ranks."""
+
+    def __init__(self, vocabulary: str):
+        import tiktoken
+
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(piece): int(at) for piece, at in map(bytes.split, lines)}
+        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters per token and entropy in bits of each text."""
+        chars, entropy = np.zeros(len(texts)), np.zeros(len(texts))
+        for k, text in enumerate(texts):
+            if text:
+                ids = np.concatenate([self.model.encode_to_numpy(text[a : a + PIECE_CHARS], disallowed_special=()) for a in range(0, len(text), PIECE_CHARS)])
+                counts = np.unique(ids, return_counts=True)[1] / len(ids)
+                chars[k] = len(text) / len(ids)
+                entropy[k] = -(counts * np.log2(counts)).sum()
+        return chars, entropy
 
 
-def assess(docs: DataFrame, text: str = "text", vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model", bands: dict[str, Band] | None = None, with_text: bool = False) -> DataFrame:
+def bounds(measured: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and ``least``: under how many characters per token of the second vocabulary a text is rejected.
+
+    ``least`` is the smaller of the ``TAIL`` quantile of all texts that pass
+    the base rules and the lower quartile less ``FENCE`` quartile ranges: at
+    most that share of a language goes, and none of it where the texts are
+    alike. Quantiles are by nearest rank over exact counts of figures rounded
+    to 0.001, so they don't depend on partitioning.
+    """
+    counts = measured.where("not base_failed").groupBy(*by, F.bround("chars_per_token_2", 3).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*by)
+    placed = counts.withColumn("upto", F.sum("n").over(group.orderBy("c"))).withColumn("all", F.sum("n").over(group))
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(q * F.col("all")), F.col("c")))
+    found = placed.groupBy(*by).agg(at(TAIL).alias("tail"), at(0.25).alias("low"), at(0.75).alias("high"))
+    return found.select(*by, F.least("tail", F.col("low") - FENCE * (F.col("high") - F.col("low"))).alias("least"))
+
+
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "chars_per_token_2", "token_entropy_2", "kept")
+
+
+def assess(
+    docs: DataFrame,
+    text: str = "text",
+    vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model",
+    bands: dict[str, Band] | None = None,
+    with_text: bool = False,
+    second: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken",
+    language: str = "lang",
+) -> DataFrame:
     """``docs`` with the counts, the fertility figures and ``kept``.
 
-    ``vocabulary`` is the file of a public piece model on every executor. A
-    null or empty text has no words and fails the base rules; rows that fail
-    them are not tokenised (n_tokens 0). Rows are independent: repeated rows
-    give repeated results, an empty table an empty one. Columns of the input
-    with clashing names are replaced; ``text`` comes along on request.
+    ``vocabulary`` and ``second`` are the files of a public piece model and of
+    public merge ranks on every executor. A null or empty text has no words
+    and fails the base rules; rows that fail them are not tokenised (n_tokens
+    0). The figures of a row depend on it alone and are written to the shared
+    folder once; ``bounds`` over all of them, by script and by the column
+    ``language`` where there is one, then decide beside the fixed bands. An
+    empty table gives an empty one. Columns of the input with clashing names
+    are replaced; ``text`` comes along on request.
     """
     bands = bands or BANDS
     carried = [c for c in docs.columns if c not in ADDED and (with_text or c != text)]
     zero, real = F.lit(0).cast("long"), F.lit(0.0)
-    kinds = dict(zip(ADDED, (zero, zero, zero, zero, zero, F.lit(True), F.lit(""), zero, real, real, real, F.lit(True)), strict=True))
+    kinds = dict(zip(ADDED, (zero, zero, zero, zero, zero, F.lit(True), F.lit(""), zero, real, real, real, real, real, F.lit(True)), strict=True))
     schema = docs.select(*carried).withColumns(kinds).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Fertility(vocabulary)
+        meter, other = held("quality", vocabulary, lambda: Fertility(vocabulary)), held("quality", second, lambda: RankFertility(second))
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 texts = text_array(part.column(text)).to_pylist()
                 counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
                 failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MOST_REPEATED_PERCENT * counts[:, 0])
-                tokens, chars, shares, entropy = meter.measure(["" if f else t for t, f in zip(texts, failed, strict=True)])
+                passed = ["" if f else t for t, f in zip(texts, failed, strict=True)]
+                tokens, chars, shares, entropy = meter.measure(passed)
+                chars_2, entropy_2 = other.measure(passed)
                 script = scripts(texts)
                 kept = np.zeros(len(texts), bool)
                 for k in np.flatnonzero(~failed):
                     b = bands[script[k]]
-                    kept[k] = b.least_chars <= chars[k] <= b.most_chars and shares[k] <= b.most_bytes and (tokens[k] < b.entropy_from or entropy[k] >= b.least_entropy)
+                    kept[k] = b.least_chars <= chars[k] <= b.most_chars and shares[k] <= b.most_bytes and (tokens[k] < b.entropy_from or min(entropy[k], entropy_2[k]) >= b.least_entropy)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in carried), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(script), pa.array(tokens), pa.array(chars), pa.array(shares), pa.array(entropy), pa.array(kept)],
+                    [*(part.column(c) for c in carried), *(pa.array(counts[:, k]) for k in range(5)), *map(pa.array, (failed, script, tokens, chars, shares, entropy, chars_2, entropy_2, kept))],
                     names=[*carried, *ADDED],
                 )
 
-    return docs.select(*carried, *([] if with_text else [text])).mapInArrow(task("quality", run), schema)
+    measured = materialise(docs.sparkSession, docs.select(*carried, *([] if with_text else [text])).mapInArrow(task("quality", run), schema), "quality")
+    by = ["script", *([language] if language in carried else [])]
+    # written, so that the planner knows that it is small and doesn't shuffle the texts
+    found = materialise(docs.sparkSession, bounds(measured, by).select(*(F.col(c).alias(f"_{c}") for c in by), "least"), "bounds")
+    same = [measured[c].eqNullSafe(found[f"_{c}"]) for c in by]
+    inside = F.col("kept") & (F.bround("chars_per_token_2", 3) >= F.coalesce("least", F.lit(0.0)))
+    return measured.join(found, same, "left").withColumn("kept", inside).select(*measured.columns)

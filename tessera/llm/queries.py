@@ -57,7 +57,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -261,6 +261,21 @@ def test_quality_operator(spark):
     assert quality.assess(frame(spark, rows, "doc_id long, text string, kept int").limit(0)).count() == 0
 
 
+def test_quality_bounds_of_the_corpus(spark):
+    stems = "house river morning letter garden window summer market village question answer mountain teacher kitchen winter history machine country station picture".split()
+    rng = random.Random(3)
+    clean = [(k, " ".join(rng.choices(stems, k=60)), "en") for k in range(300)]
+    junk = [(1000 + k, " ".join(w[:3] + rng.choice(["###", "$$$", "%%%", "&&&", "***"]) for w in rng.choices(stems, k=60)), "en") for k in range(3)]
+    rows = clean + junk
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    gone = lambda d: {r.doc_id for r in quality.assess(d).where("not kept").collect()}
+    assert gone(docs) == {1000, 1001, 1002}
+    assert gone(docs.union(docs).union(docs).repartition(7)) == {1000, 1001, 1002}
+    assert gone(docs.where("doc_id < 1000")) == set()
+    assert gone(docs.withColumn("lang", F.lit(None).cast("string"))) == {1000, 1001, 1002}
+    assert quality.RankFertility("/opt/tokenizers/byte_bpe_multi_50k.tiktoken").measure([" " * 2_000_000, ""])[0][1] == 0
+
+
 def test_scripts():
     assert quality.scripts(["plain", "naïve façade — “q”", "Привет, мир", "日本語です", "", "123"]) == ["latin", "latin", "cyrillic", "cjk", "latin", "latin"]
 
