@@ -295,3 +295,12 @@ def test_run_files(spark, tmp_path):
     assert files.read_entities(spark, str(tmp_path / "e"), "A").count() == 1
     with pytest.raises(FileNotFoundError):
         files.read_entities(spark, str(tmp_path / "e"), "C")
+
+
+def test_every_part_is_a_query(spark):
+    from tessera.plans import catalogue
+
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    got = catalogue.QUERIES["lex_full_part"](spark, "/root/testdata/sf0.001").select("query_idx", "cand")
+    assert parts < 500 and got.count() == parts * (parts - 1)  # one bucket
+    assert got.select("query_idx").distinct().count() == parts
