@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts are sequences of word hashes (lower-cased runs of letters and digits).
+Texts are sequences of word hashes (lower-cased runs of letters and digits;
+letters of scripts written without blanks are words of their own).
 An item of ``m`` words is found in a document if some stretch of the document
 is within ``floor(rate * m)`` word edits of it.
 
@@ -29,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._store import drop, scratch_path
-from tessera.llm._words import ALNUM, U64, SortedHash, mix, slices, words
+from tessera.llm._words import ALNUM, U64, SortedHash, buffers, mix, slices, text_array, words
 from tessera.llm._worker import task
 
 EDIT_RATE = 0.2
@@ -43,9 +45,25 @@ REPETITIONS, SAMPLES = 24, 2
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
+_PLAIN = (
+    (r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""),
+    (r"[^\x00-\x7F\p{L}\p{M}\p{N}]", " "),
+    (r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 "),
+)
 _END = U64(0x5851F42D4C957F2D)
 
 
+def plain(column: pa.Array) -> pa.Array:
+    """The texts with marks and blanks beyond ASCII as spaces, invisible joiners dropped, and letters of scripts without blanks apart."""
+    column = text_array(column)
+    data, _ = buffers(column)
+    if not len(data) or data.max() < 128:
+        return column
+    for pattern, to in _PLAIN:
+        column = pc.replace_substring_regex(column, pattern, to)
+    return column
+
+
 def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each place on (places too near the end included, they read padding)."""
     padded = np.concatenate([hashes, np.zeros(size, U64)])
@@ -106,7 +124,7 @@ class Items:
     """A bounded block of benchmark items, compiled."""
 
     def __init__(self, ids: list[int], texts: list[str], rate: float = EDIT_RATE, repetitions: int = REPETITIONS, samples: int = SAMPLES):
-        hashes, counts = words(pa.array(texts, pa.string()), ALNUM)
+        hashes, counts = words(plain(pa.array(texts, pa.string())), ALNUM)
         some = np.flatnonzero(counts > 0)
         starts = np.cumsum(counts) - counts
         self.ids = np.array(ids, np.int64)[some]
@@ -227,7 +245,7 @@ def _scan(docs: DataFrame, shipped: Broadcast, text: str, carried: list[str], ag
         items = shipped.value
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
-                hashes, counts = words(part.column(text), ALNUM)
+                hashes, counts = words(plain(part.column(text)), ALNUM)
                 if again:
                     own = [dict(zip(i, e, strict=True)) for i, e in zip(part.column("item_ids").to_pylist(), part.column("edits").to_pylist(), strict=True)]
                 else:

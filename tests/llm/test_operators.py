@@ -253,6 +253,15 @@ def test_pieces_operator(spark):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_decontamination_beyond_ascii(spark):
+    item = "he said that it's a long way - and then: nothing, just \"rain\" and wind"
+    typed = "xx he\u00a0said\u2009that it\u2019s a\u3000long way\u2014and then\uff1a nothing\uff0cjust\u201crain\u201dand\u2026wi\u00adnd yy"
+    bench = frame(spark, [(1, item), (2, "春眠不覚暁処処聞啼鳥"), (3, "größe über alles naïve façade")], "item_id long, text string")
+    docs = frame(spark, [(1, typed), (2, "前の文。そして春眠不覚暁処処聞啼鳥と言った"), (3, "die Größe über alles “naïve” façade"), (4, "春の夜の夢は短い")], "doc_id long, text string")
+    got = decontam.find_items(spark, docs, bench)
+    assert {r.doc_id: (r.item_ids, r.edits) for r in got.collect()} == {1: ([1], [0]), 2: ([2], [0]), 3: ([3], [0]), 4: ([], [])}
+
+
 def test_quality_operator(spark):
     clean = "This is a plain sentence of some length, written so that nothing in it repeats and every rule is content."
     rows = [(1, clean, 1), (2, None, 1), (3, "", 1), (4, "word " * 40, 1), (5, " ".join(f"{k * 7919 % 65521:x}{k * 104729:x}" for k in range(200)), 1), (1, clean, 1)]
