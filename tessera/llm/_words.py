@@ -47,11 +47,11 @@ def _powers(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of at most ``max_bytes`` of text each (one longer row is a run of its own)."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int, row_bytes: int = 0) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of at most ``max_bytes`` each, a row's text and ``row_bytes`` for what it costs besides (one larger row is a run of its own)."""
     if not batch.num_rows:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + row_bytes
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         before = ends[at - 1] if at else 0

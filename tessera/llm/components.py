@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import materialise
+from tessera.llm._store import materialise, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,11 +40,14 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     before = _state(edges)
     if before[0]:
         for _ in range(most_rounds):
-            edges = materialise(spark, _small_star(_large_star(edges)), "edges")
+            last, edges = edges, materialise(spark, _small_star(_large_star(edges)), "edges")
+            release(last)
             if (after := _state(edges)) == before:
                 break
             before = after
         else:
             raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    found = materialise(spark, edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    release(edges)
+    return found

@@ -59,20 +59,45 @@ def _elements(text):
     return neardup.occurrences(*shingles(h, c, 5))
 
 
-def test_dart_signatures_estimate_weighted_jaccard():
+def _weights(text):
+    h, c = words(pa.array([text]), NON_SPACE)
+    return neardup.weighted(*shingles(h, c, 5))[:2]
+
+
+@pytest.mark.parametrize("repeats", [1, 40, 3000])
+def test_dart_signatures_estimate_weighted_jaccard(repeats):
     rng = random.Random(3)
     base = [f"w{rng.randrange(300)}" for _ in range(400)]
     other = base[:]
     for _ in range(8):
         other[rng.randrange(400)] = "changed"
-    a, _ = _elements(" ".join(base))
-    b, _ = _elements(" ".join(other))
+    a, b = _elements(" ".join(base))[0], _elements(" ".join(other))[0]
     exact = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
     k = 4096
-    s = neardup.dart_signatures(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, k)
+    (ga, wa), (gb, wb) = _weights(" ".join(base)), _weights(" ".join(other))
+    weight = np.concatenate([wa, wb]) * repeats  # all weights alike: the similarity stays
+    s = neardup.dart_signatures(np.concatenate([ga, gb]), weight, np.repeat([0, 1], [len(ga), len(gb)]), 2, k)
     assert abs((s[0] == s[1]).mean() - exact) < 0.04
 
 
+def test_dart_signatures_weigh_shingles():
+    g = np.array([11, 22, 11, 22], np.uint64)
+    s = neardup.dart_signatures(g, np.array([1, 7, 5, 3]), np.array([0, 0, 1, 1]), 3, 8192)
+    assert abs((s[0] == s[1]).mean() - (1 + 3) / (5 + 7)) < 0.03  # sum of least over sum of greatest weights
+    assert (s[2] == np.iinfo(np.uint64).max).all()
+    alone = neardup.dart_signatures(g[:2], np.array([1, 7]), np.array([0, 0]), 1, 8192)
+    assert np.array_equal(alone[0], s[0])
+
+
+def test_darts_of_a_region_follow_its_area():
+    h = mix(np.arange(1, 200_001, dtype=np.uint64))
+    for mean in (2.0**-8, 0.125, 1.0, 64.0, 1024.0):
+        dart, region = neardup._darts(mean, h)
+        n = np.bincount(region, minlength=len(h))
+        assert abs(n.mean() - mean) < 0.02 * mean + 1e-3 and abs(n.var() - mean) < 0.05 * mean + 1e-3
+        assert len(np.unique(dart)) == len(dart)
+
+
 def test_occurrences_count_repeats():
     a, _ = _elements("x x x x x x x")  # one shingle three times
     assert len(a) == 3 and len(set(a.tolist())) == 3
@@ -80,7 +105,7 @@ def test_occurrences_count_repeats():
 
 def test_similar_pairs_is_exact():
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 40, 20)).astype(np.uint32) for _ in range(30)] + [np.zeros(0, np.uint32)]
+    sets = [np.unique(rng.integers(0, 40, 20)).astype(np.uint64) for _ in range(30)] + [np.zeros(0, np.uint64)]
     left, right = np.arange(0, 20), np.arange(10, 31)
     a, b = neardup.similar_pairs(sets, left, right, 0.4)
     got = {(int(left[i]), int(right[j])) for i, j in zip(a, b, strict=True)}

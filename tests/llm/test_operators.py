@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,40 @@ def test_near_duplicates_edges(spark):
     assert neardup.classes(spark, frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_under_a_common_passage(spark):
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(75)]
+    rows = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(25)])) for i in range(120)]
+    for i in range(120, 150):  # near copies of some of them
+        ws = rows[i - 120][1].split()
+        ws[rng.randrange(100)] = "changed"
+        rows.append((i, " ".join(ws)))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark, frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == _brute_classes(rows) and len(set(got.values())) >= 90
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_blocks_of_a_group_lose_no_link(spark, block_bytes):
+    rng = random.Random(1)
+    sets = {i: sorted(rng.sample(range(14), 8)) for i in range(40)}
+    placed = [(7, 40, 40 * 64 if block_bytes > 1 else 6, i, i, np.array(x, np.uint64).tobytes()) for i, x in sets.items()]
+    got = neardup.block_links(frame(spark, [(a, b, c, d, e, bytearray(f)) for a, b, c, d, e, f in placed], "bucket long, size long, bytes long, id long, component long, elements binary"), 0.6, 9, block_bytes)
+    classes = {r.node: r.component for r in components.components(spark, got).collect()}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if len(set(sets[a]) & set(sets[b])) >= 0.6 * len(set(sets[a]) | set(sets[b])):
+                root[a] = root[b] = min(root[a], root[b])
+    assert {i: classes.get(i, i) for i in sets} == root
+
+
+def test_near_duplicates_of_any_column_names(spark):
+    rows = frame(spark, [(1, "a b c", 7), (2, "a b c", 8)], "id int, text string, class_id long")
+    assert sorted(neardup.classes(spark, rows, unit="id").collect()) == [(1, 1), (2, 1)]
+    with pytest.raises(ValueError):
+        neardup.classes(spark, rows, unit="text")
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (201, 200), (200, 201), (None, 3)]
     got = {r.node: r.component for r in components.components(spark, frame(spark, edges, "u long, v long")).collect()}
