@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -233,6 +234,32 @@ def test_line_dedup_edges(spark):
     assert linededup.keep_bitmaps(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_of_very_long_documents(spark):
+    n = 100_000
+    lines = [f"line number {k} of a very long document" for k in range(n)]
+    rows = [(i, "\n".join(lines[i:] + ["own line of document %d, all its own" % i])) for i in range(3)]
+    took = time.time()
+    got = linededup.keep_bitmaps(frame(spark, rows, "doc_id long, text string"), with_input=True).withColumn("kept", linededup.kept_text("text", "keep_bitmap"))
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got.collect()) == [
+        (0, n + 1, n - 2, "\n".join([*lines[:2], rows[0][1].rpartition("\n")[2]])),
+        (1, n, n - 2, "\n".join([lines[1], rows[1][1].rpartition("\n")[2]])),
+        (2, n - 1, 0, rows[2][1]),
+    ]
+    assert time.time() - took < 90
+
+
+def test_line_dedup_of_clashing_names_and_texts_of_one_id(spark):
+    line = "a line of more than twenty characters"
+    rows = [(1, f"x\n{line}", 5, 6, 7), (1, f"{line}\ny\n{line}", 5, 6, 7), (2, line, 5, 6, 7), (3, f"{line}\nz\n{line}", 5, 6, 7)]
+    docs = frame(spark, rows, "_unit long, text string, _lost long, _t long, `a.b` long")
+    got = linededup.keep_bitmaps(docs, unit="_unit", with_input=True)
+    assert got.columns == ["_unit", "text", "_lost", "_t", "a.b", "n_lines", "n_dropped", "keep_bitmap"]
+    kept = got.withColumn("kept", linededup.kept_text("text", "keep_bitmap"))
+    assert sorted((r._unit, r._lost, r.n_dropped, r.kept) for r in kept.collect()) == [(1, 5, 1, "x"), (1, 5, 2, "y"), (2, 5, 1, ""), (3, 5, 0, rows[3][1])]
+    once = linededup.keep_bitmaps(docs, unit="_unit", with_input=True, repeats=True).withColumn("kept", linededup.kept_text("text", "keep_bitmap"))
+    assert [r.kept for r in once.where("_unit = 3").collect()] == [f"{line}\nz"]
+
+
 def test_html_operator(spark):
     rows = frame(spark, [(1, "u", "<p>Hi  there</p>", "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(rows).collect()}
