@@ -77,6 +77,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of bytes."""
+    running = np.zeros(len(data) + 1, U64)
+    np.multiply(data.astype(U64) + U64(1), _powers(len(data), _BASE), out=running[1:])
+    np.cumsum(running, out=running)
+    hashed = (running[ends] - running[starts]) * _powers(len(data), _INVERSE)[starts]
+    return mix(hashed ^ (ends - starts).astype(U64))
+
+
 def words(column: pa.Array, classes: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the number of words per row."""
     column = text_array(column)
@@ -97,12 +106,8 @@ def words(column: pa.Array, classes: np.ndarray, lower: bool = True) -> tuple[np
     stop = inside[:-1] & ~inside[1:]
     stop[cuts - 1] = inside[:-1][cuts - 1]
     ends = np.flatnonzero(stop) + 1
-    running = np.zeros(len(data) + 1, U64)
-    np.multiply(data.astype(U64) + U64(1), _powers(len(data), _BASE), out=running[1:])
-    np.cumsum(running, out=running)
-    hashed = (running[ends] - running[starts]) * _powers(len(data), _INVERSE)[starts]
     counts = np.diff(np.searchsorted(starts, offsets))
-    return mix(hashed ^ (ends - starts).astype(U64)), counts
+    return range_hashes(data, starts, ends), counts
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,23 +5,31 @@ letters of scripts written without blanks are words of their own).
 An item of ``m`` words is found in a document if some stretch of the document
 is within ``floor(rate * m)`` word edits of it.
 
-1. Windows. If a stretch has at most ``e`` edits, one of the ``e + 1`` equal
-   blocks of the item stands in it unchanged (pigeonhole). So item-sized
-   windows are taken only where a block of the item stands, aligned by the
-   block's place: nothing within the bound is lost, and clean text costs one
-   look-up per word.
-2. CGK. A random walk reads window and item in step: at each of ``3 m`` steps
-   it emits the current word and moves on or not, as a random bit of (step,
-   word) says. Small edit distance becomes small Hamming distance.
-3. LSH. Each of ``T`` repetitions has its own walk and compares ``K`` sampled
-   steps; a window passes if one repetition agrees in all of them.
-4. The edit distance of the item to the best stretch around each passing
-   window is computed exactly.
-
-The benchmark is read in blocks of bounded size, one pass over the documents
-for each; every pass but the last is written to the shared folder before the
-next block is shipped, so executors hold one block at a time however many
-items there are. A benchmark of one block takes one narrow pass.
+1. CGK. A random walk reads a window word by word: at each step it emits the
+   current word and moves on or not, as a random bit of (repetition, step,
+   word) says. Two windows with few edits between them soon walk in step
+   again, so small edit distance becomes small Hamming distance.
+2. LSH. Each repetition has its own walk and samples some of the emitted
+   words; their hash is the key of a bucket. Document windows start at every
+   ``stride``-th word. A window that starts inside a passage meets the item at
+   the offset where it starts, so an item is entered by its windows from every
+   offset: whichever stretch of a passage has no edit near its start brings a
+   pair into one bucket, and a long item has many such chances. Samples lie in
+   the first ``steps`` steps, so windows of all items share one walk.
+3. Pairs of a bucket are aligned to item-sized windows. A pair is dropped if
+   the window lacks more of the item's words than the bound allows (exact:
+   every missing word is an edit), else the edit distance of the item to the
+   best stretch around it is computed exactly.
+
+Buckets are the only source of candidates. Short items have short walks
+(``WALKS``). Pairs are expanded a bounded number at a time, so a phrase that
+very many items share costs time, not memory.
+
+The benchmark is read in blocks bounded by bytes of text, one pass over the
+documents for each; every pass but the last is written to the shared folder
+before the next block is shipped, so executors hold one block, of checked
+size, however many items there are. A benchmark of one block takes one narrow
+pass.
 """
 
 from __future__ import annotations
@@ -41,9 +49,15 @@ from tessera.llm._words import ALNUM, U64, SortedHash, buffers, mix, slices, tex
 from tessera.llm._worker import task
 
 EDIT_RATE = 0.2
-REPETITIONS, SAMPLES = 24, 2
-BLOCK_BYTES = 32 << 20
+#: Least words of an item, then the walk of its windows: repetitions, steps and sampled steps; the last that an item reaches holds.
+WALKS = ((1, 1, 1, 1), (3, 2, 3, 3), (5, 4, 4, 3), (12, 4, 12, 5))
+STRIDE = 1
+BLOCK_BYTES = 8 << 20
+#: Bytes that a compiled block may take for each byte of its texts.
+COMPILED_FACTOR = 64
 SLICE_BYTES = 1 << 20
+#: Pairs of a bucket that are expanded at once.
+PAIRS = 1 << 18
 _GOLD = 0x9E3779B97F4A7C15
 _PLAIN = (
     (r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""),
@@ -64,45 +78,28 @@ def plain(column: pa.Array) -> pa.Array:
     return column
 
 
-def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` words from each place on (places too near the end included, they read padding)."""
-    padded = np.concatenate([hashes, np.zeros(size, U64)])
-    out = np.zeros(len(hashes), U64)
-    for k in range(size):
-        out = (out ^ padded[k : k + len(hashes)]) * U64(_GOLD) + U64(k + 1)
-        out ^= out >> U64(31)
-    return mix(out + U64(size))
-
-
-def sampled_walks(sequence: np.ndarray, start: np.ndarray, stop: np.ndarray, sizes: np.ndarray, repetitions: int, samples: int) -> np.ndarray:
-    """LSH keys (places x repetitions) of the stretches ``sequence[start:stop]`` for items of ``sizes`` words."""
-    n = len(start)
-    if not n:
-        return np.zeros((n, repetitions), U64)
-    salt = mix(np.arange(1, repetitions + 1, dtype=U64) * U64(_GOLD))
-    # the sampled steps of each repetition, by item size
-    chosen = np.stack([mix(salt[None, :] + U64(s + 1) * _END) % (3 * sizes[:, None]).astype(U64) for s in range(samples)], 2).astype(np.int64)
-    # a walk ends with its last sampled step; the longest walks come first, so that those under way are a prefix
-    last = chosen.max((1, 2))
-    order = np.argsort(-last, kind="stable")
-    chosen, last, stop = chosen[order], last[order], stop[order][:, None]
-    pointers = np.repeat(start[order][:, None], repetitions, 1)
-    keys = np.zeros((n, repetitions), U64)
-    padded = np.append(sequence, _END)
-    for step in range(int(last[0]) + 1):
-        live = int(np.searchsorted(-last, -step, side="right"))
-        pointer, own = pointers[:live], keys[:live]
-        inside = pointer < stop[:live]
-        word = np.where(inside, padded[np.minimum(pointer, len(sequence))], _END)
-        for s in range(samples):
-            now = chosen[:live, :, s] == step
-            if now.any():
-                own[now] += mix(word[now] ^ U64((step + 1) * 0x9E3779B9 & 0xFFFFFFFF))
-        bit = (mix(word ^ (salt[None, :] + U64((step * _GOLD) & 0xFFFFFFFFFFFFFFFF))) >> U64(40)) & U64(1)
-        pointer += inside & (bit == 1)
-    out = np.empty_like(keys)
-    out[order] = keys
-    return out
+def sampled_steps(steps: int, samples: int, repetition: int) -> list[int]:
+    """The sampled steps of a repetition: the first, where every walk is in place, and others spread by hash."""
+    drawn = mix(np.arange(1, steps, dtype=U64) * _END + U64((repetition + 1) * 0x9E3779B9))
+    return sorted([0, *(np.argsort(drawn)[: samples - 1] + 1).tolist()])
+
+
+def walks(hashes: np.ndarray, start: np.ndarray, steps: int, samples: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of the windows from ``start`` on, and the place of the last word that each key has sampled."""
+    chosen = sampled_steps(steps, samples, repetition)
+    # a word's random bits of all steps of this repetition; a window at the end reads on into nothing
+    bits = mix(np.append(hashes, np.zeros(steps, U64)) + U64(((repetition + 1) * int(_END)) & 0xFFFFFFFFFFFFFFFF))
+    padded = np.append(hashes, np.full(steps, _END))
+    at = start.copy()
+    key = np.full(len(start), (steps * 0x632BE59BD9B4E019 + repetition * _GOLD) & 0xFFFFFFFFFFFFFFFF, U64)
+    for step in range(chosen[-1] + 1):
+        if step in chosen:
+            key ^= padded[at]
+            key *= U64(0xFF51AFD7ED558CCD)
+            key ^= key >> U64(32)
+        if step < chosen[-1]:
+            at += ((bits >> U64(step)).astype(np.uint8) & 1)[at]
+    return mix(key), at
 
 
 def edit_distance(item: np.ndarray, stretch: np.ndarray) -> int:
@@ -120,70 +117,120 @@ def edit_distance(item: np.ndarray, stretch: np.ndarray) -> int:
     return int(row.min())
 
 
+class _Buckets:
+    """The windows of the items of one walk, by bucket key."""
+
+    def __init__(self, walk: tuple[int, int, int, int], items: np.ndarray, whole: np.ndarray, first: np.ndarray, sizes: np.ndarray):
+        _, self.repetitions, self.steps, self.samples = walk
+        owner = np.repeat(items, sizes[items])
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[items]) - sizes[items], sizes[items])
+        self.tables = []
+        for r in range(self.repetitions):
+            keys, last = walks(whole, first[owner] + offset, self.steps, self.samples, r)
+            inside = last < first[owner] + sizes[owner]  # the samples are the item's own words
+            keys, of, off = keys[inside], owner[inside], offset[inside]
+            order = np.argsort(keys, kind="stable")
+            distinct, begin = np.unique(keys[order], return_index=True)
+            table = SortedHash(distinct)
+            spans = np.stack([begin, np.append(begin[1:], len(order))], 1)[table.order]
+            self.tables.append((table, spans, of[order].astype(np.int32), off[order].astype(np.int32)))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(t.hashes.nbytes + t.start.nbytes + t.order.nbytes + s.nbytes + o.nbytes + f.nbytes for t, s, o, f in self.tables)
+
+    def pairs(self, hashes: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Document place, item and item offset of windows in one bucket; some are given more than once."""
+        for r, (table, spans, item, offset) in enumerate(self.tables):
+            found = table.find(walks(hashes, start, self.steps, self.samples, r)[0])
+            hit = np.flatnonzero(found >= 0)
+            span = spans[found[hit]]
+            n = span[:, 1] - span[:, 0]
+            upto = np.cumsum(n)
+            for low in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+                nth = np.arange(low, min(low + PAIRS, int(upto[-1])))
+                own = np.searchsorted(upto, nth, side="right")
+                entry = span[own, 0] + nth - (upto[own] - n[own])
+                yield start[hit[own]], item[entry].astype(np.int64), offset[entry].astype(np.int64)
+
+
 class Items:
     """A bounded block of benchmark items, compiled."""
 
-    def __init__(self, ids: list[int], texts: list[str], rate: float = EDIT_RATE, repetitions: int = REPETITIONS, samples: int = SAMPLES):
+    def __init__(self, ids: list[int], texts: list[str], rate: float = EDIT_RATE, walk_of: tuple[tuple[int, int, int, int], ...] = WALKS, stride: int = STRIDE):
         hashes, counts = words(plain(pa.array(texts, pa.string())), ALNUM)
         some = np.flatnonzero(counts > 0)
         starts = np.cumsum(counts) - counts
         self.ids = np.array(ids, np.int64)[some]
         self.sequences = [hashes[starts[k] : starts[k] + counts[k]] for k in some]
-        self.sizes = np.array([len(s) for s in self.sequences], np.int64)
+        self.sizes = counts[some].astype(np.int64)
         self.bounds = np.floor(rate * self.sizes + 1e-9).astype(np.int64)
-        self.repetitions, self.samples = repetitions, samples
-        whole = np.concatenate([*self.sequences, np.zeros(0, U64)])
-        first = np.cumsum(self.sizes) - self.sizes
-        self.keys = sampled_walks(whole, first, first + self.sizes, self.sizes, repetitions, samples)
-        blocks: dict[int, list[tuple[int, int, int]]] = {}
-        for k, seq in enumerate(self.sequences):
-            size = max(1, len(seq) // (int(self.bounds[k]) + 1))
-            own = _combined(seq, size)
-            for j in range(int(self.bounds[k]) + 1):
-                blocks.setdefault(size, []).append((int(own[j * size]), k, j * size))
-        self.blocks = {}
-        for size, rows in blocks.items():
-            rows.sort()
-            keys = np.array([r[0] for r in rows], U64)
-            distinct, begin = np.unique(keys, return_index=True)
-            table = SortedHash(distinct)
-            begin = np.append(begin, len(rows))
-            spans = np.stack([begin[:-1], begin[1:]], 1)[table.order]
-            self.blocks[size] = (table, spans, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        self.stride = stride
+        self.first, self.short = starts[some], (hashes >> U64(48)).astype(np.int32)
+        kind = np.searchsorted([w[0] for w in walk_of], self.sizes, side="right") - 1
+        self.buckets = [_Buckets(walk_of[k], np.flatnonzero(kind == k), hashes, starts[some], self.sizes) for k in np.unique(kind)]
+        self.text_bytes = sum(len(t.encode()) for t in texts)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(b.nbytes for b in self.buckets) + sum(s.nbytes for s in self.sequences)
+
+    def candidates(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and start of item-sized windows of which some stretch met the item in a bucket, each once."""
+        ends = np.cumsum(counts)
+        place = np.arange(len(hashes))
+        if self.stride > 1:
+            place = place[(place - np.repeat(ends - counts, counts)) % self.stride == 0]
+        most = int(self.sizes.max(initial=0))
+        width = len(hashes) + most
+        found = [np.zeros(0, np.int64)]
+        for b in self.buckets:
+            for at, item, offset in b.pairs(hashes, place):
+                row = np.searchsorted(ends, at, side="right")
+                found.append((row * len(self.sizes) + item) * width + at - offset + most)
+                if len(found) > 16:
+                    found = [np.unique(np.concatenate(found))]
+        pair, start = np.divmod(np.unique(np.concatenate(found)), max(width, 1))
+        return *np.divmod(pair, max(len(self.sizes), 1)), start - most
+
+    def enough_words(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether ``hashes[low:high]`` has all words of the item but as many as its bound; compares 16 bits of a word, so it never drops too much."""
+        out = np.zeros(len(item), bool)
+        order = np.argsort(self.sizes[item], kind="stable")
+        short = (hashes >> U64(48)).astype(np.uint16)
+        at = 0
+        while at < len(order):
+            # items of about one size, in a matrix of bounded size
+            room = max(1, (1 << 20) // int(self.sizes[item[order[at]]] * 2 + 2))
+            part = order[at : at + room]
+            at += len(part)
+            i = item[part]
+            m, n = int(self.sizes[i].max()), int((high - low)[part].max(initial=0))
+            spot = low[part][:, None] + np.arange(max(n, 1))
+            held = np.where(spot < high[part][:, None], short[np.minimum(spot, len(short) - 1)].astype(np.int32), -1)
+            hits = np.zeros(len(part), np.int64)
+            for j in range(m):
+                live = j < self.sizes[i]
+                own = self.short[np.minimum(self.first[i] + j, len(self.short) - 1)]
+                hits += (held == own[:, None]).any(1) & live
+            out[part] = hits >= self.sizes[i] - self.bounds[i]
+        return out
 
     def matches(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Row, item and exact edit distance of all finds."""
         ends = np.cumsum(counts)
-        found = []
-        for size, (table, spans, item, offset) in self.blocks.items():
-            at = table.find(_combined(hashes, size))
-            place = np.flatnonzero(at >= 0)
-            if not len(place):
-                continue
-            span = spans[at[place]]
-            n = span[:, 1] - span[:, 0]
-            which = np.repeat(span[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(place, n)
-            row = np.searchsorted(ends, place, side="right")
-            fits = place + size <= ends[row]
-            found.append(np.stack([row, item[which], place - offset[which]], 1)[fits])
-        if not found:
-            return
-        windows = np.unique(np.concatenate(found), axis=0)
-        row, item, start = windows.T
-        low, high = ends[row] - counts[row], ends[row]
-        size = self.sizes[item]
-        begin, stop = np.maximum(start, low), np.minimum(np.maximum(start, low) + size, high)
-        passed = np.zeros(len(row), bool)
-        for k in range(0, len(row), 4096):
-            part = slice(k, k + 4096)
-            passed[part] = (sampled_walks(hashes, begin[part], stop[part], size[part], self.repetitions, self.samples) == self.keys[item[part]]).any(1)
         best: dict[tuple[int, int], int] = {}
-        for r, i, s, a, b in zip(row[passed].tolist(), item[passed].tolist(), start[passed].tolist(), low[passed].tolist(), high[passed].tolist(), strict=True):
+        row, item, start = self.candidates(hashes, counts)
+        slack = self.bounds[item]
+        low, high = np.maximum(ends[row] - counts[row], start - slack), np.minimum(ends[row], start + self.sizes[item] + slack)
+        for k in np.flatnonzero(self.enough_words(hashes, low, high, item)):
+            r, i = int(row[k]), int(item[k])
             if best.get((r, i), 1) == 0:
                 continue
-            e = int(self.bounds[i])
-            d = edit_distance(self.sequences[i], hashes[max(a, s - e) : min(b, s + int(self.sizes[i]) + e)])
+            e, own, stretch = int(self.bounds[i]), self.sequences[i], hashes[low[k] : high[k]]
+            if np.isin(own, stretch).sum() < len(own) - e:
+                continue
+            d = edit_distance(own, stretch)
             if d <= e and d < best.get((r, i), e + 1):
                 best[r, i] = d
         for (r, i), d in sorted(best.items()):
@@ -196,12 +243,13 @@ def item_blocks(benchmark: DataFrame, unit: str, text: str, most_bytes: int = BL
     texts: list[str] = []
     held = 0
     for r in benchmark.where(F.col(unit).isNotNull() & F.col(text).isNotNull()).select(unit, text).distinct().toLocalIterator():
-        if texts and held + len(r[1]) > most_bytes:
+        size = len(r[1].encode())
+        if texts and held + size > most_bytes:
             yield ids, texts
             ids, texts, held = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
-        held += len(r[1])
+        held += size
     if texts:
         yield ids, texts
 
@@ -225,7 +273,10 @@ def find_items(
     found, written, block = docs, None, next(blocks, ([], []))
     while True:
         following = next(blocks, None)
-        shipped = spark.sparkContext.broadcast(Items(*block, rate))
+        items = Items(*block, rate)
+        if items.nbytes > COMPILED_FACTOR * max(items.text_bytes, 1 << 20):
+            raise MemoryError("a compiled block of items is larger than its bound")
+        shipped = spark.sparkContext.broadcast(items)
         found = _scan(found, shipped, text, [c for c in docs.columns if c in kept or c == text and (with_text or following is not None)], found is not docs)
         if following is None:
             return found

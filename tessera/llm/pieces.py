@@ -1,51 +1,58 @@
-"""SentencePiece encoding and decoding as a weighted transducer.
-
-The public vocabulary file is compiled into three transducers: the normaliser
-(a blank before the text, blank to the piece mark), the pieces, and byte
-fallback for characters without a piece. Composed with an input they give a
-lattice of positions and last pieces; its shortest path in the tropical
-semiring is the encoding.
-
-For a unigram vocabulary a path's weight is the sum of the pieces' costs. For
-a byte-pair vocabulary the weights alone would not give the model's own
-segmentation; there the piece transducer also remembers its last piece and
-allows the next one only if merging the two pieces' characters by rank gives
-back these two pieces. A text has exactly one path all of whose neighbours
-are allowed, the byte-pair encoding, so the shortest path is the model's
-result. Runs of blanks, whose pieces tie in rank, are merged by the rank rule
-directly.
-
-Normalisation is the identity here, so decoding returns every text exactly
-(U+2581, the piece mark itself, is taken by its bytes).
+"""SentencePiece encoding and decoding as a weighted finite-state transducer.
+
+The public vocabulary file is compiled into parts that are composed with each
+input:
+
+* the normaliser puts a blank before the text and maps blanks to the piece
+  mark (the only normalisation supported, so decoding is exact);
+* the piece transducer reads characters along the prefixes of pieces and
+  writes a piece at a weight, its negative score;
+* byte fallback maps a character without a piece to its bytes' pieces;
+* for a byte-pair vocabulary a neighbour acceptor remembers the last piece and
+  gives a next one weight 0 or, if merging by rank would have joined across
+  their border, infinity. That is read off the two pieces' merge trees: along
+  the border every part lives from the rank that forms it to the rank that
+  takes it in, and two parts alive at once whose union is a piece would merge.
+
+The composition is a lattice over positions, and the encoding its shortest
+path in the tropical semiring: weights add along a path and the least sum wins.
+With a byte-pair vocabulary just one path to each position is finite, so one
+state a position holds both kinds of vocabulary. Unigram weights alone take the
+same path without the acceptor.
+
+No piece crosses from a word into blanks, so the lattice of a text falls apart
+at blanks and line ends. A slice of a column is cut into such units as one
+byte buffer; only units not met before are composed, and ids and decoded bytes
+of the slice are gathered from tables.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._words import slices, text_array
+from tessera.llm._words import U64, SortedHash, buffers, range_hashes, slices, text_array
 from tessera.llm._worker import held, task
 
 MARK = "▁"
 SLICE_BYTES = 1 << 20
-#: Encodings of words, and answers about neighbouring pieces, that a worker remembers.
-MEMORY, NEIGHBOURS = 250_000, 300_000
+#: Units that a worker remembers (the first met, which are the frequent ones) and answers about neighbours.
+UNITS, NEIGHBOURS = 250_000, 400_000
+#: Units up to so many characters are composed together, so many at a time.
+TOGETHER, BLOCK = 64, 4096
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNIGRAM, BPE = 1, 2, 3, 4, 6, 1, 2
 _NONE = float("inf")
-_RUNS = re.compile(r" +[^ ]*|[^ ]+")
 
 
 class PieceTransducer:
-    """Compiled normaliser, pieces and byte fallback of one vocabulary file."""
+    """Normaliser, pieces, byte fallback and neighbour acceptor of one vocabulary file."""
 
     def __init__(self, vocabulary: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -74,208 +81,280 @@ class PieceTransducer:
                 self.bytes_of[k] = p.piece.replace(MARK, " ").encode()
         if min(self.byte_ids) < 0:
             raise ValueError("the vocabulary has no byte fallback")
-        if any(MARK in p[1:].lstrip(MARK) or p.startswith(MARK) and MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("pieces cross blanks")
+        if "\n" in "".join(self.ids) or any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("pieces cross blanks or line ends")
+        self.prepare()
+
+    def prepare(self) -> None:
+        """What follows from ``ids`` and ``cost``."""
         self.text_of = {k: p for p, k in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
-        self.ends = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}  # prefixes: states of the piece transducer
-        self.allowed: dict[int, bool] = {}
-        self.known_words: dict[str, tuple[int, ...]] = {}
-        self.known_rests: dict[str, tuple[int, ...]] = {}
-
-    # --- pieces ---
-
-    def merged(self, text: str) -> list[int]:
-        """Merging by rank, best first and leftmost on ties; characters without a piece stand as ``-1``."""
-        if len(text) <= 24:
-            ids, cost = self.ids, self.cost
-            short = list(text)
-            ranks = [cost[k] if (k := ids.get(x + y)) is not None else _NONE for x, y in zip(short, short[1:], strict=False)]
-            while ranks:
-                least = min(ranks)
-                if least == _NONE:
-                    break
-                i = ranks.index(least)
-                short[i] += short.pop(i + 1)
-                ranks.pop(i)
-                if i:
-                    ranks[i - 1] = cost[k] if (k := ids.get(short[i - 1] + short[i])) is not None else _NONE
-                if i < len(ranks):
-                    ranks[i] = cost[k] if (k := ids.get(short[i] + short[i + 1])) is not None else _NONE
-            return [ids.get(x, -1) for x in short]
-        parts: list[str | None] = list(text)
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue: list[tuple[float, int, str]] = []
-
-        def push(a: int) -> None:
-            b = after[a]
-            if a >= 0 and b < n:
-                joined = parts[a] + parts[b]
-                k = self.ids.get(joined)
-                if k is not None:
-                    heapq.heappush(queue, (self.cost[k], a, joined))
-
-        for a in range(n - 1):
-            push(a)
-        while queue:
-            _, a, joined = heapq.heappop(queue)
-            if parts[a] is None or after[a] >= n or parts[a] + parts[after[a]] != joined:
-                continue
-            b = after[a]
-            parts[a], parts[b] = joined, None
-            after[a] = after[b]
-            if after[a] < n:
-                before[after[a]] = a
-            push(a)
-            if before[a] >= 0:
-                push(before[a])
-        return [self.ids.get(p, -1) for p in parts if p is not None]
-
-    def allows(self, left: int, right: int) -> bool:
-        """Whether the two pieces may stand side by side in a byte-pair encoding."""
-        key = left << 24 | right
-        found = self.allowed.get(key)
+        self.prefixes = {p[:k]: 0 for p in self.ids for k in range(1, len(p) + 1)}  # states of the piece transducer
+        for state, p in enumerate(self.prefixes, 1):
+            self.prefixes[p] = state
+        arcs = np.array([(self.prefixes.get(p[:-1], 0) << 21 | ord(p[-1])) for p in self.prefixes], U64)
+        self.arcs = SortedHash(arcs)
+        self.to = (self.arcs.order + 1).astype(np.int64)
+        self.writes = np.full(len(self.prefixes) + 1, -1, np.int64)  # the piece that a state may write
+        for p, k in self.ids.items():
+            self.writes[self.prefixes[p]] = k
+        self.weight = np.array(self.cost)
+        self.trees: dict[str, tuple[str, str] | None] = {}
+        self.borders: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
+        self.fits: dict[int, bool] = {}
+        self.plain = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.width = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.place = np.cumsum(self.width) - self.width
+        self.known: dict[int, int] = {}  # units met, and their place in the table
+        self.starts, self.sizes, self.pieces = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    # --- neighbour acceptor of a byte-pair vocabulary ---
+
+    def tree(self, piece: str) -> tuple[str, str] | None:
+        """The last merge that gives a piece from its characters; None for a character, and for a piece that merging never gives."""
+        if piece not in self.trees:
+            parts = list(piece)
+            last = None
+            queue = [(self.cost[self.ids[x + y]], a, x + y) for a, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.ids]
+            heapq.heapify(queue)
+            after = [*range(1, len(parts)), -1]
+            before = list(range(-1, len(parts) - 1))
+            alive: list[str | None] = list(parts)
+            while queue:
+                _, a, joined = heapq.heappop(queue)
+                b = after[a]
+                if alive[a] is None or b < 0 or alive[a] + alive[b] != joined:
+                    continue
+                last = (alive[a], alive[b])
+                alive[a], alive[b] = joined, None
+                after[a] = after[b]
+                if after[a] >= 0:
+                    before[after[a]] = a
+                for x, y in ((before[a], a), (a, after[a])):
+                    if x >= 0 and y >= 0 and alive[x] + alive[y] in self.ids:
+                        heapq.heappush(queue, (self.cost[self.ids[alive[x] + alive[y]]], x, alive[x] + alive[y]))
+            self.trees[piece] = last if alive[0] == piece else None
+        return self.trees[piece]
+
+    def border(self, piece: str, side: int) -> list[tuple[str, float, float]]:
+        """Parts of a piece along its right (1) or left (0) border, with the ranks that form them and take them in."""
+        found = self.borders.get((piece, side))
         if found is None:
-            found = self.merged(self.text_of[left] + self.text_of[right]) == [left, right]
-            if len(self.allowed) < NEIGHBOURS:  # frequent ones come early
-                self.allowed[key] = found
+            found, part, taken = [], piece, _NONE
+            while True:
+                split = self.tree(part) if len(part) > 1 else None
+                formed = self.cost[self.ids[part]] if len(part) > 1 else -_NONE
+                found.append((part, formed, taken))
+                if split is None:
+                    break
+                part, taken = split[side], formed
+            self.borders[piece, side] = found
         return found
 
-    def shortest_path(self, text: str) -> list[int]:
-        """Pieces of a stretch whose characters all have pieces: the lattice's best path."""
-        n = len(text)
-        ids, ends = self.ids, self.ends
-        if self.kind == UNIGRAM:
-            best: list[tuple[float, int, int]] = [(0.0, -1, -1)] + [(float("inf"), -1, -1)] * n
-            for a in range(n):
-                for b in range(a + 1, min(n, a + self.longest) + 1):
-                    part = text[a:b]
-                    if part not in ends:
-                        break
-                    k = ids.get(part)
-                    if k is not None and best[a][0] + self.cost[k] < best[b][0]:
-                        best[b] = (best[a][0] + self.cost[k], a, k)
-            out, at = [], n
-            while at > 0:
-                out.append(best[at][2])
-                at = best[at][1]
-            return out[::-1]
-        # The allowed path to a position is unique, so a position is left once at most: longest arc first,
-        # stepping back from dead ends.
-        allowed, longest = self.allowed, self.longest
-        out: list[int] = []
-        stops = [0]  # positions of the path
-        limit = n if n < longest else longest  # next arc from the last position ends there at most
-        dead = set()
-        while True:
-            a = stops[-1]
-            if a == n:
-                return out
-            left = out[-1] if out else -1
-            b = limit
-            while b > a:
-                k = ids.get(text[a:b])
-                if k is not None and b not in dead:
-                    key = left << 24 | k
-                    fits = allowed.get(key)
-                    if fits is None:
-                        fits = self.single(k) if left < 0 else self.allows(left, k)
-                    if fits:
-                        break
-                b -= 1
-            if b > a:
-                out.append(k)
-                stops.append(b)
-                limit = b + longest if b + longest < n else n
-            else:
-                dead.add(a)
-                if not out:
-                    return self.merged(text)
-                out.pop()
-                limit = stops.pop() - 1
-
-    def single(self, piece: int) -> bool:
-        """Whether merging a piece's own characters gives the piece."""
-        key = -1 << 24 | piece
-        found = self.allowed.get(key)
+    def accepts(self, left: int, right: int) -> bool:
+        """Whether two pieces may stand side by side; ``left`` is -1 at the start."""
+        key = left << 24 | right
+        found = self.fits.get(key)
         if found is None:
-            found = self.allowed[key] = self.merged(self.text_of[piece]) == [piece]
+            own = self.text_of[right]
+            found = len(own) == 1 or self.tree(own) is not None
+            if found and left >= 0:
+                for x, x_formed, x_taken in self.border(self.text_of[left], 1):
+                    for y, y_formed, y_taken in self.border(own, 0):
+                        k = self.ids.get(x + y)
+                        if k is not None:
+                            at = max(self.cost[k], x_formed, y_formed)
+                            if at < x_taken and at <= y_taken:  # of equal ranks the left one merges first
+                                found = False
+                                break
+                    if not found:
+                        break
+            if len(self.fits) >= NEIGHBOURS:
+                self.fits.clear()
+            self.fits[key] = found
         return found
 
-    # --- composition with an input ---
+    # --- composition and shortest path ---
 
-    def _stretch(self, text: str, blank: bool) -> tuple[int, ...]:
-        """A word, after the piece mark if ``blank``; characters without a piece go to their bytes."""
-        out: list[int] = []
-        held = [MARK] if blank else []
-        for c in text:
-            if c in self.ids and c != MARK:
-                held.append(c)
+    def shortest_path(self, text: str) -> list[int]:
+        """Pieces of the least sum of weights for a stretch whose characters all have pieces."""
+        n, ids, cost, prefixes, fits = len(text), self.ids, self.cost, self.prefixes, self.fits
+        free = self.kind == UNIGRAM
+        least, last, origin = [0.0] + [_NONE] * n, [-1] * (n + 1), [0] * (n + 1)
+        for a in range(n):
+            here, left = least[a], last[a]
+            if here == _NONE:
                 continue
-            if held:
-                out += self.shortest_path("".join(held))
-                held.clear()
-            out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-        if held:
-            out += self.shortest_path("".join(held))
-        return tuple(out)
-
-    def word(self, text: str) -> tuple[int, ...]:
-        """Pieces of a blank and the word after it."""
-        found = self.known_words.get(text)
-        if found is None:
-            if "\n" in text:  # no piece has it: what follows is reached by many inputs
-                head, *rest = text.split("\n")
-                out = list(self.word(head))
-                for part in rest:
-                    out.append(self.byte_ids[10])
-                    out += self.rest(part)
-                return tuple(out)
-            found = self._stretch(text, True)
-            if len(self.known_words) < MEMORY and len(text) < 64:
-                self.known_words[text] = found
-        return found
-
-    def rest(self, text: str) -> tuple[int, ...]:
-        found = self.known_rests.get(text)
-        if found is None:
-            found = self._stretch(text, False)
-            if len(self.known_rests) < MEMORY // 4 and len(text) < 64:
-                self.known_rests[text] = found
-        return found
+            for b in range(a + 1, n + 1):
+                part = text[a:b]
+                if part not in prefixes:
+                    break
+                k = ids.get(part)
+                if k is not None and here + cost[k] < least[b]:
+                    ok = free or fits.get(left << 24 | k)
+                    if ok or ok is None and self.accepts(left, k):
+                        least[b], last[b], origin[b] = here + cost[k], k, a
+        if least[n] == _NONE:
+            raise ValueError(f"no path for {text[:100]!r}")
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at = origin[at]
+        return out[::-1]
+
+    def compose(self, unit: str) -> list[int]:
+        """Pieces of a unit: blanks as the mark, characters without a piece (and the mark itself) as bytes."""
+        out: list[int] = []
+        stretch: list[str] = []
+        for c in unit:
+            if c == " ":
+                stretch.append(MARK)
+            elif c in self.ids and c != MARK:
+                stretch.append(c)
+            else:
+                if stretch:
+                    out += self.shortest_path("".join(stretch))
+                    stretch.clear()
+                out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+        if stretch:
+            out += self.shortest_path("".join(stretch))
+        return out
 
-    def _blanks(self, run: str) -> list[int]:
-        """Several blanks and the word after them, up to the first character without a piece."""
-        n = len(run) - len(run.lstrip(" "))
-        if n == 1:
-            return list(self.word(run[1:]))
-        k = n
-        while k < len(run) and run[k] in self.ids and run[k] != MARK:
-            k += 1
-        head = MARK * n + run[n:k]
-        out = self.merged(head) if self.kind == BPE else self.shortest_path(head)
-        return out + list(self.rest(run[k:]))
+    def compose_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``compose`` of short units, together: one relaxation for all arcs of a length from a position on; ids and their number."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes[codes == ord(MARK)] = 0x110000  # the mark itself has no piece
+        codes[codes == 32] = ord(MARK)
+        lengths = np.array([len(u) for u in units], np.int64)
+        n = int(lengths.max())
+        begin = np.cumsum(lengths) - lengths
+        spot = np.arange(n + 1)
+        padded = np.where(spot < lengths[:, None], codes[np.minimum(begin[:, None] + spot, len(codes) - 1)], -1)
+        least = np.full((len(units), n + 1), _NONE)
+        least[:, 0] = 0
+        last, origin = np.full((len(units), n + 1), -1, np.int64), np.zeros((len(units), n + 1), np.int64)
+        for a in range(n):
+            at = np.flatnonzero((lengths > a) & (least[:, a] < _NONE))
+            here, left, state = least[at, a], last[at, a], np.zeros(len(at), np.int64)
+            for b in range(a + 1, n + 1):
+                char = padded[at, b - 1]
+                arc = self.arcs.find((state << 21 | np.maximum(char, 0)).astype(U64))
+                go = (arc >= 0) & (char >= 0)
+                if b == a + 1 and not go.all():  # byte fallback; its bytes stand for the character until the end
+                    lost = at[~go]
+                    least[lost, b], last[lost, b], origin[lost, b] = here[~go], -2 - char[~go], a
+                if not go.any():
+                    break
+                at, here, left, state = at[go], here[go], left[go], self.to[arc[go]]
+                piece = self.writes[state]
+                total = here + self.weight[piece]
+                better = np.flatnonzero((piece >= 0) & (total < least[at, b]))
+                better = better[self._accepts(left[better], piece[better])]
+                rows = at[better]
+                least[rows, b], last[rows, b], origin[rows, b] = total[better], piece[better], a
+        rows, place, found = np.arange(len(units)), lengths.copy(), []
+        while len(rows):
+            found.append((rows, place, last[rows, place]))
+            place = origin[rows, place]
+            rows, place = rows[place > 0], place[place > 0]
+        row, place, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place, row))
+        row, ids = row[order], ids[order]
+        if (ids == -1).any():
+            raise ValueError("no path for a unit")
+        spelled = {c: [self.byte_ids[b] for b in (MARK if c == 0x110000 else chr(c)).encode("utf-8", "surrogatepass")] for c in (-2 - np.unique(ids[ids < 0])).tolist()}
+        if spelled:
+            many = np.ones(len(ids), np.int64)
+            for c, own in spelled.items():
+                many[ids == -2 - c] = len(own)
+            where, row = np.cumsum(many) - many, np.repeat(row, many)
+            out = np.repeat(ids, many)
+            for c, own in spelled.items():
+                for j, piece in enumerate(own):
+                    out[where[ids == -2 - c] + j] = piece
+            ids = out
+        return ids.astype(np.int32), np.bincount(row, minlength=len(units))
+
+    def _accepts(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if self.kind == UNIGRAM or not len(left):
+            return np.ones(len(left), bool)
+        pairs, which = np.unique(np.maximum(left, -1) << 24 | right, return_inverse=True)
+        known = self.fits.get
+        answers = [known(p) for p in pairs.tolist()]
+        for j, (p, answer) in enumerate(zip(pairs.tolist(), answers, strict=True)):
+            if answer is None:
+                answers[j] = self.accepts(p >> 24, p & 0xFFFFFF)
+        return np.array(answers, bool)[which]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        if "\n" in self.ids:
-            raise ValueError("a piece for the line end")
-        if "  " in text or text[0] == " ":
-            for run in _RUNS.findall(" " + text):
-                out += self._blanks(run)
-            return out
-        known, word = self.known_words, self.word
-        for part in text.split(" "):
-            found = known.get(part)
-            out += word(part) if found is None else found
-        return out
+        """One text."""
+        return self.encode_column(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        of = self.bytes_of
-        return b"".join([of[k] for k in ids]).decode("utf-8", "surrogatepass")[1:]
+        """The text of some pieces; ids that the vocabulary doesn't have are an error."""
+        return b"".join([self.bytes_of[k] for k in ids]).decode("utf-8", "replace")[1:]
+
+    # --- columns ---
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts, the number of ids of each, and whether decoding them gives the text (null reads as empty)."""
+        column = text_array(column)
+        # the normaliser's blank; an empty text has no unit
+        empty = pc.equal(column, "").to_numpy(zero_copy_only=False)
+        data, offsets = buffers(pc.if_else(pa.array(empty), "", pc.binary_join_element_wise(pa.scalar(" ", column.type), column, pa.scalar("", column.type))))
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(empty), np.int64), np.ones(len(empty), bool)
+        begins = np.zeros(len(data), bool)
+        blank, line = data == 32, data == 10
+        begins[1:] = blank[1:] & ~blank[:-1] | line[1:] | line[:-1]
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))
+        distinct, first, which = np.unique(range_hashes(data, start, end), return_index=True, return_inverse=True)
+        known = self.known.get
+        entry = np.array([known(key, -1) for key in distinct.tolist()], np.int64)
+        new = np.flatnonzero(entry < 0)
+        pieces, starts, sizes = self.pieces, self.starts, self.sizes
+        if len(new):
+            more, many = self._compose_new([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            entry[new] = len(starts) + np.arange(len(new))
+            starts, sizes, pieces = np.append(starts, len(pieces) + np.cumsum(many) - many), np.append(sizes, many), np.append(pieces, more)
+            kept = min(len(new), UNITS - len(self.known))
+            if kept > 0:
+                self.known.update(zip(distinct[new[:kept]].tolist(), entry[new[:kept]].tolist(), strict=True))
+                self.starts, self.sizes = starts[: len(self.known)], sizes[: len(self.known)]
+                self.pieces = pieces[: int(self.starts[-1] + self.sizes[-1])]
+        starts, sizes = starts[entry][which], sizes[entry][which]
+        upto = np.cumsum(sizes)
+        ids = pieces[np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1])]
+        tokens = np.append(0, upto)[np.searchsorted(start, offsets)]
+        return ids, np.diff(tokens), self._same(ids, tokens, data, offsets)
+
+    def _compose_new(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units and their number, in order."""
+        many = np.zeros(len(units), np.int64)
+        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+        lengths = np.array([len(u) for u in units])
+        order = np.argsort(lengths, kind="stable")
+        short = order[: int((lengths <= TOGETHER).sum())]
+        for low in range(0, len(short), BLOCK):
+            part = short[low : low + BLOCK]
+            ids, sizes = self.compose_many([units[k] for k in part])
+            for k, own in zip(part.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                found[k] = own
+        for k in order[len(short) :].tolist():
+            found[k] = np.array(self.compose(units[k]), np.int32)
+        many[:] = [len(x) for x in found]
+        return np.concatenate(found), many
+
+    def _same(self, ids: np.ndarray, tokens: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each row's pieces are the row's."""
+        width = self.width[ids]
+        upto = np.append(0, np.cumsum(width))
+        decoded = self.plain[np.repeat(self.place[ids] - upto[:-1], width) + np.arange(upto[-1])]
+        own = upto[tokens]
+        if len(decoded) == len(data) and np.array_equal(own, offsets) and np.array_equal(decoded, data):
+            return np.ones(len(offsets) - 1, bool)
+        return np.array([np.array_equal(decoded[own[k] : own[k + 1]], data[offsets[k] : offsets[k + 1]]) for k in range(len(offsets) - 1)], bool)
 
 
 def compiled(vocabulary: str) -> PieceTransducer:
@@ -291,7 +370,10 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = "/opt/tokenize
 
     A null text has null ids, no tokens and round_trip true; an empty one an
     empty list. Rows are independent: repeated rows give repeated results, an
-    empty table an empty one. Columns with clashing names are replaced.
+    empty table an empty one; paths of equal weight cannot occur in a
+    byte-pair vocabulary, in others the one found first stays. A very long
+    text is taken whole, in memory of some times its size. Columns called as
+    the three results are replaced.
     """
     carried = [c for c in docs.columns if c != text and c not in _ADDED.fieldNames()]
     schema = T.StructType([*docs.select(*carried).schema.fields, *_ADDED.fields])
@@ -300,23 +382,17 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = "/opt/tokenize
         machine = compiled(vocabulary)
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
-                flat, sizes, same = array("i"), [], []
-                for t in text_array(part.column(text)).to_pylist():
-                    ids = machine.encode(t)
-                    flat.extend(ids)
-                    sizes.append(len(ids))
-                    same.append(machine.decode(ids) == t)
+                ids, sizes, same = machine.encode_column(part.column(text))
                 offsets = np.zeros(len(sizes) + 1, np.int32)
                 np.cumsum(sizes, out=offsets[1:])
-                none = part.column(text).is_null()
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)), mask=none)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(sizes, pa.int64()), lists, pa.array(same)], names=[*carried, *_ADDED.fieldNames()])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=part.column(text).is_null())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(sizes), lists, pa.array(same)], names=[*carried, *_ADDED.fieldNames()])
 
     return docs.select(*carried, text).mapInArrow(task("pieces", run), schema)
 
 
 def decode(frame: DataFrame, ids: str = "ids", vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model", out: str = "text") -> DataFrame:
-    """``frame`` with the text that ``ids`` stand for (null for null)."""
+    """``frame`` with the text that ``ids`` stand for (null for null); bytes that make no text become U+FFFD."""
     carried = [c for c in frame.columns if c != out]
     schema = frame.select(*carried).withColumn(out, F.lit(None).cast("string")).schema
 

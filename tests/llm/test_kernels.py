@@ -158,16 +158,71 @@ def test_decontamination_recall_on_edited_passages():
     assert list(found.matches(*words(pa.array(clean), ALNUM))) == []
 
 
-def test_walks_do_not_depend_on_their_neighbours():
+def test_walks_do_not_depend_on_what_follows_them():
     rng = np.random.default_rng(3)
     sequence = rng.integers(1, 9, 400).astype(np.uint64)
-    sizes = np.array([1, 50, 3, 200, 3, 17], np.int64)
     start = np.array([0, 10, 399, 150, 20, 60], np.int64)
-    stop = np.minimum(start + sizes, 400)
-    together = decontam.sampled_walks(sequence, start, stop, sizes, 8, 2)
-    alone = [decontam.sampled_walks(sequence, start[[k]], stop[[k]], sizes[[k]], 8, 2)[0] for k in range(6)]
-    assert np.array_equal(together, np.stack(alone)) and len(np.unique(together)) > 30
-    assert decontam.sampled_walks(sequence, start[:0], stop[:0], sizes[:0], 8, 2).shape == (0, 8)
+    for _, repetitions, steps, samples in decontam.WALKS:
+        for r in range(repetitions):
+            keys, last = decontam.walks(sequence, start, steps, samples, r)
+            assert (last - start < steps).all() and len(decontam.sampled_steps(steps, samples, r)) == samples
+            for k, at in enumerate(start):
+                alone, end = decontam.walks(sequence[at : at + steps], np.zeros(1, np.int64), steps, samples, r)
+                assert alone[0] == keys[k] and end[0] == last[k] - at
+
+
+def test_small_edit_distance_is_small_hamming_distance():
+    rng = np.random.default_rng(4)
+    agree = {0: 0, 1: 0, 5: 0}
+    for n in range(300):
+        a = rng.integers(1, 1 << 60, 12).astype(np.uint64)
+        for edits in agree:
+            b = a.copy()
+            b[rng.choice(12, edits, replace=False)] += np.uint64(1)
+            agree[edits] += int(decontam.walks(a, np.zeros(1, np.int64), 10, 4, n % 4)[0][0] == decontam.walks(b, np.zeros(1, np.int64), 10, 4, n % 4)[0][0])
+    assert agree[0] == 300 and 300 > agree[1] > 150 > agree[5] > 0
+
+
+def test_candidates_come_from_buckets_alone(monkeypatch):
+    item = " ".join(f"v{k}" for k in range(30))
+    h, c = words(pa.array(["x " + item + " y"]), ALNUM)
+    items = decontam.Items([9], [item])
+    assert [(int(r), int(i)) for r, i, _ in items.matches(h, c)] == [(0, 0)]
+    monkeypatch.setattr(decontam._Buckets, "pairs", lambda *a: iter(()))
+    assert list(items.matches(h, c)) == []
+
+
+def test_decontamination_equals_brute_force_of_windows():
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(300)]
+    items = [" ".join(rng.choices(vocab, k=rng.randrange(1, 40))) for _ in range(30)]
+    texts = []
+    for n in range(120):
+        part = items[rng.randrange(30)].split()
+        for _ in range(rng.randrange(0, 6)):
+            part[rng.randrange(len(part))] = rng.choice(vocab)
+        texts.append(" ".join([*rng.choices(vocab, k=rng.randrange(30)), *part, *rng.choices(vocab, k=rng.randrange(30))]))
+    found = decontam.Items(list(range(30)), items)
+    h, c = words(pa.array(texts), ALNUM)
+    ends = np.cumsum(c)
+    want = {}
+    for r in range(len(texts)):
+        for i in range(30):
+            d = decontam.edit_distance(found.sequences[i], h[ends[r] - c[r] : ends[r]])
+            if d <= found.bounds[i]:
+                want[r, i] = d
+    got = {(r, i): d for r, i, d in found.matches(h, c)}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) and all(got[k] >= want[k] for k in got)
+    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+
+
+def test_a_phrase_of_many_items_is_expanded_in_parts(monkeypatch):
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    phrase = "which of the following is true about the long river in the north"
+    items = decontam.Items(list(range(200)), [f"{phrase} number {k} of them all" for k in range(200)])
+    h, c = words(pa.array([f"a b c {phrase} number 77 of them all"]), ALNUM)
+    finds = {i: d for _, i, d in items.matches(h, c)}
+    assert len(finds) == 200 and finds[77] == 0 and max(finds.values()) == 1
 
 
 @pytest.fixture(scope="module")
