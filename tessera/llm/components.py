@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm._store import materialise, release
 
+#: Salts that spread the links of one node.
+SPREAD = 8
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -21,7 +24,10 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # a hub's links are spread over tasks
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
+    joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPREAD))).join(spread, ["u", "salt"])
+    return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ probability equal to their weighted Jaccard similarity.
 32 bands of 6 coordinates find a pair at similarity 0.8 with probability
 0.9999. Equal texts are one node. In each bucket all members are checked
 against one hashed pivot (a different one in every band), by shingles counted
-exactly. Where a bucket then still holds several components, its documents
-meet again by rare shingles: two documents at the threshold share one of the
-``n - ceil(t n) + 1`` rarest shingles of each (prefix filter), so a common
-passage brings nobody together. Documents of different components that share
-such a shingle are compared in blocks inside Arrow groups; no pair is a row.
+exactly. Where a bucket of up to ``BLOCK`` documents then still holds several
+components, its pairs across components are compared inside one Arrow group
+(or several, by bytes). Documents of larger such buckets meet again by rare
+shingles: two at the threshold share one of the ``n - ceil(t n) + 1`` rarest
+shingles of each (prefix filter), so a passage that very many documents hold
+brings nobody together, and the work doesn't grow with the square of a bucket.
 """
 
 from __future__ import annotations
@@ -292,13 +293,8 @@ def block_links(placed: DataFrame, threshold: float, block: int = BLOCK, block_b
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
 
-def rare_groups(loose: DataFrame, threshold: float) -> DataFrame:
-    """``(bucket, size, bytes, id)``: which of ``loose(id, component, n, elements)`` share a shingle of their prefixes across components.
-
-    A prefix is the ``n - ceil(t n) + 1`` rarest elements of a document, by
-    number of holders among ``loose``. Of shingles with the same holders one
-    stands for all.
-    """
+def _rows_of(loose: DataFrame) -> DataFrame:
+    """``(element, id, component, n)`` of ``loose(id, component, elements)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,17 +302,37 @@ def rare_groups(loose: DataFrame, threshold: float) -> DataFrame:
                 held = np.frombuffer(blob.as_buffer(), np.int64)
                 for at in range(0, len(held), 1 << 16):
                     part = held[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), i.as_py())), pa.array(np.full(len(part), c.as_py())), pa.array(np.full(len(part), len(held)))], names=["element", "id", "component", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), x)) for x in (i.as_py(), c.as_py(), len(held)))], names=["element", "id", "component", "n"])
+
+    return loose.select("id", "component", "elements").mapInArrow(task("neardup", run), "element long, id long, component long, n long")
 
-    rows = loose.select("id", "component", "elements").mapInArrow(task("neardup", run), "element long, id long, component long, n long")
+
+def rare_links(spark: SparkSession, loose: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links between different components of ``loose(id, component, n, elements)``, found by rare elements.
+
+    A prefix is the ``n - ceil(t n) + 1`` rarest elements of a document, by
+    number of holders among ``loose``. Documents of different components that
+    share one, and whose sizes allow the threshold, are compared; an element
+    with more than ``block`` holders is compared in blocks.
+    """
+    rows = materialise(spark, _rows_of(loose), "rows")
     holders = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "element"))
     prefix = rows.join(holders, "element").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
     prefix = prefix.where("df > 1").select("element", "id", "component", "n")
-    one, two = F.xxhash64("id", F.lit(1)), F.xxhash64("id", F.lit(2))
-    groups = prefix.groupBy("element").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") * 8).alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(one).alias("a"), F.bit_xor(two).alias("b"))
-    groups = groups.where("size > 1 and lo < hi").groupBy("size", "bytes", "a", "b").agg(F.min("element").alias("element"))
-    return prefix.join(groups.select("element", "size", "bytes"), "element").select(F.col("element").alias("bucket"), "size", "bytes", "id")
+    signature = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    groups = prefix.groupBy("element").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") * 8).alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"), *signature)
+    groups = groups.where("size > 1 and lo < hi").groupBy("size", "bytes", "s1", "s2").agg(F.min("element").alias("element"))
+    held = materialise(spark, prefix.join(groups.select("element", "size", "bytes"), "element"), "held")
+    release(rows)
+    few = held.where(F.col("size") <= block)
+    other = few.select("element", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"))
+    pairs = few.join(other, "element").where("id > v and component <> cv").where(F.least("n", "nv") >= F.lit(threshold) * F.greatest("n", "nv"))
+    close = verify(pairs.select(F.col("id").alias("u"), "v").distinct(), loose, threshold)
+    many = held.where(F.col("size") > block).select(F.col("element").alias("bucket"), "size", "bytes", "id")
+    found = materialise(spark, close.union(block_links(many.join(loose, "id"), threshold)), "rare")
+    release(held)
+    return found
 
 
 def _salted(frame: DataFrame, key: str = "id") -> DataFrame:
@@ -348,8 +364,7 @@ def classes(
     reps = found.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     copies = materialise(spark, found.select("id", "f1", "f2").distinct().join(reps, ["f1", "f2"]).select("id", "rep").distinct(), "copies")
     nodes = found.where("n > 0").join(copies.where("id = rep").select("id").distinct(), "id", "left_semi")
-    member = _salted(nodes.select("id", F.explode("bands").alias("bucket")))
-    # the pivot of a bucket: partial rows a salt, so that a bucket of any size is one small row a task
+    member = _salted(nodes.select("id", "n", F.explode("bands").alias("bucket")))
     pivots = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id"))["id"].alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     member = materialise(spark, member.join(_every_salt(pivots), ["bucket", "salt"]), "members")
     release(found)
@@ -359,18 +374,24 @@ def classes(
     links = materialise(spark, verify(stars, elements, threshold), "links")
     release(stars)
     first = components(spark, links)
-    placed = member.where("size > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    loose = materialise(spark, placed.join(_every_salt(mixed), ["bucket", "salt"], "left_semi").select("id", "component").distinct().join(elements, "id"), "loose")
-    release(member, first, elements)
-    groups = rare_groups(loose, threshold)
-    more = materialise(spark, block_links(groups.join(loose, "id"), threshold), "more")
-    release(loose)
+    placed = member.where("size > 2").drop("pivot").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    signature = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    mixed = placed.groupBy("bucket", "size").agg(F.sum(F.col("n") * 8).alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"), *signature).where("lo < hi")
+    # of buckets with the same documents one stands for all
+    mixed = materialise(spark, mixed.groupBy("size", "bytes", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "bytes"), "mixed")
+    held = materialise(spark, placed.join(_every_salt(mixed), ["bucket", "salt"]).select("bucket", "size", "bytes", "id", "component"), "held")
+    release(member, first, mixed)
+    more = materialise(spark, block_links(held.where(F.col("size") <= BLOCK).join(elements.select("id", "elements"), "id"), threshold), "more")
+    large = held.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        loose = materialise(spark, large.select("id", "component").distinct().join(elements, "id"), "loose")
+        more = more.union(rare_links(spark, loose, threshold))
+    release(held, elements)
     # an id whose rows hold several texts links those texts
     several = copies.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("hi")).where("v < hi").select("id", "v")
     same = copies.join(several, "id").where("rep <> v").select(F.col("rep").alias("u"), "v")
     whole = components(spark, links.union(more).union(same))
-    release(links, more)
+    release(links)
     text_of = copies.groupBy("id").agg(F.min("rep").alias("node")).join(whole, "node", "left").select(F.col("id").alias("_id"), F.coalesce("component", "node").alias("_class"))
     every = docs.select(F.col(unit).alias("_unit"))
     return every.join(text_of, F.col("_unit") == F.col("_id"), "left").select(F.col("_unit").alias(unit), F.coalesce("_class", F.col("_unit")).cast("long").alias("class_id"))

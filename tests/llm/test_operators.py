@@ -135,7 +135,10 @@ def test_near_duplicates_edges(spark):
     assert neardup.classes(spark, frame(spark, [], "doc_id long, text string")).count() == 0
 
 
-def test_near_duplicates_under_a_common_passage(spark):
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_duplicates_under_a_common_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup.rare_links, "__defaults__", (block,))
     rng = random.Random(8)
     passage = [f"p{k}" for k in range(75)]
     rows = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(25)])) for i in range(120)]
