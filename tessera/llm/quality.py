@@ -13,8 +13,6 @@ corpus itself, see ``bounds``.
 from __future__ import annotations
 
 import base64
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._store import materialise
-from tessera.llm._words import slices, text_array
+from tessera.llm._words import NON_SPACE, buffers, range_hashes, shingles, slices, text_array, words
 from tessera.llm._worker import held, task
 
 SLICE_BYTES = 1 << 20
@@ -39,7 +37,6 @@ FENCE = 3.0
 PIECE_CHARS = 50_000
 #: How the second vocabulary's files split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MARKS = re.compile(r"[ \t-\r]")
 #: First code point of a run of scripts, and the band that holds from there.
 _SCRIPTS = ((0, "latin"), (0x250, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "semitic"), (0x780, "other"), (0x900, "indic"), (0x1100, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "cjk"), (0xA000, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0x20000, "cjk"), (0x2FA20, "other"))
 
@@ -67,31 +64,59 @@ BANDS = {
 }
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of one text."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()  # bytes split at the six ASCII white-space characters only
-    blanks = sum(map(raw.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
-    symbols = sum(raw.count(c.encode()) for c in SYMBOLS)
-    lines = raw.split(b"\n")
-    dup = 0
-    if len(lines) > 1:
-        held = [x for x in lines if x.strip()]
-        dup = len(held) - len(set(held))
-    repeat = 0
-    if len(words) > WINDOW:
-        windows = list(zip(*(words[k:] for k in range(WINDOW)), strict=False))
-        if len(set(windows)) < len(windows):
-            many = {w for w, n in Counter(windows).items() if n > 1}
-            inside = np.zeros(len(words) + 1, np.int64)
-            for at, w in enumerate(windows):
-                if w in many:
-                    inside[at] += 1
-                    inside[min(at + WINDOW, len(words))] -= 1
-            repeat = int((np.cumsum(inside[:-1]) > 0).sum())
-    return len(words), len(text) - blanks, symbols, dup, repeat
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[ord(c) for c in SYMBOLS]] = True
+
+
+def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of set flags between offsets."""
+    return np.diff(np.append(0, np.cumsum(flags))[offsets])
+
+
+def _repeated(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a row has the key more than once, and whether it had it before."""
+    order = np.lexsort((keys, row))
+    same = (keys[order][1:] == keys[order][:-1]) & (row[order][1:] == row[order][:-1])
+    often, before = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    often[order[1:][same]] = often[order[:-1][same]] = True
+    before[order[1:][same]] = True  # the order is stable, so the first of them is the first in the text
+    return often, before
+
+
+def base_counts(column: pa.Array) -> np.ndarray:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every text, one row each."""
+    column = text_array(column)
+    rows = len(column)
+    data, offsets = buffers(column)
+    if not len(data):
+        return np.zeros((rows, 5), np.int64)
+    hashes, n_words = words(column, NON_SPACE, lower=False)
+    inside = NON_SPACE[data]
+    chars = _per_row(inside & ((data & 0xC0) != 0x80), offsets)
+    symbols = _per_row(_SYMBOL[data], offsets)
+    # lines: from a row's start or a line end to the next; those with a word count
+    ends = data == 10
+    start = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], np.flatnonzero(ends) + 1]))
+    start = start[start < len(data)]
+    row = np.searchsorted(offsets, start, side="right") - 1
+    stops = np.append(np.flatnonzero(ends), len(data))
+    stop = np.minimum(stops[np.searchsorted(stops, start)], offsets[row + 1])
+    upto = np.append(0, np.cumsum(inside))
+    real = upto[stop] > upto[start]
+    start, stop, row = start[real], stop[real], row[real]
+    dup = np.bincount(row[_repeated(range_hashes(data, start, stop), row)[1]], minlength=rows)
+    # windows: a word counts if one of the windows over it is repeated
+    grams, of = shingles(hashes, n_words, WINDOW)
+    full = n_words[of] >= WINDOW
+    first = np.cumsum(n_words) - n_words
+    windows = np.maximum(n_words - WINDOW + 1, (n_words > 0).astype(np.int64))
+    at = (np.arange(len(grams)) - np.repeat(np.cumsum(windows) - windows, windows) + first[of])[full]
+    at = at[_repeated(grams[full], of[full])[0]]
+    cover = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.subtract.at(cover, at + WINDOW, 1)
+    repeat = _per_row(np.cumsum(cover[:-1]) > 0, np.append(first, len(hashes)))
+    return np.stack([n_words, chars, symbols, dup, repeat], 1).astype(np.int64)
 
 
 def scripts(texts: list[str]) -> list[str]:
@@ -199,12 +224,14 @@ def assess(
 
     ``vocabulary`` and ``second`` are the files of a public piece model and of
     public merge ranks on every executor. A null or empty text has no words
-    and fails the base rules; rows that fail them are not tokenised (n_tokens
-    0). The figures of a row depend on it alone and are written to the shared
-    folder once; ``bounds`` over all of them, by script and by the column
-    ``language`` where there is one, then decide beside the fixed bands. An
-    empty table gives an empty one. Columns of the input with clashing names
-    are replaced; ``text`` comes along on request.
+    and fails the base rules; every text is measured, whole, whether it fails
+    them or not. The figures of a row depend on it alone (repeated rows have
+    equal ones) and are written to the shared folder once; ``bounds`` over all
+    that pass the base rules, by script and by the column ``language`` where
+    there is one (null is a language too), then decide beside the fixed bands;
+    a text just at a bound is kept. An empty table gives an empty one. Columns
+    of the input called as the results are replaced, other names don't matter;
+    ``text`` comes along on request.
     """
     bands = bands or BANDS
     carried = [c for c in docs.columns if c not in ADDED and (with_text or c != text)]
@@ -217,11 +244,10 @@ def assess(
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 texts = text_array(part.column(text)).to_pylist()
-                counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
+                counts = base_counts(part.column(text))
                 failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MOST_REPEATED_PERCENT * counts[:, 0])
-                passed = ["" if f else t for t, f in zip(texts, failed, strict=True)]
-                tokens, chars, shares, entropy = meter.measure(passed)
-                chars_2, entropy_2 = other.measure(passed)
+                tokens, chars, shares, entropy = meter.measure(texts)
+                chars_2, entropy_2 = other.measure(texts)
                 script = scripts(texts)
                 kept = np.zeros(len(texts), bool)
                 for k in np.flatnonzero(~failed):

@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -285,21 +286,42 @@ def test_warc_records_parse():
     assert block == payload and head["warc-target-uri"] == "http://a b/"
 
 
+def _counts(*texts):
+    return quality.base_counts(pa.array(texts, pa.string())).tolist()
+
+
+def _plain_counts(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
+    inside = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(5)}
+    return [len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside)]
+
+
 def test_base_counts():
-    assert quality.base_counts(None) == (0, 0, 0, 0, 0)
-    text = "a b c d e\na b c d e\n \n \nx #| y z"
-    n, chars, symbols, dup, repeat = quality.base_counts(text)
-    assert (n, symbols, dup) == (13, 2, 1)
-    assert chars == sum(not c.isspace() or c == " " for c in text)
-    assert repeat == 10
+    text = "a b c d e\na b c d e\n \n \nx #| y z"
+    assert _counts(None, "", text, " \n", "é\x0b日本\n\né") == [[0] * 5, [0] * 5, [14, 15, 2, 1, 10], [0] * 5, [3, 4, 0, 0, 0]]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("ab \n\t#|é日"), max_size=60), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_base_counts_by_brute_force(texts):
+    assert _counts(*texts) == [_plain_counts(t) for t in texts]
 
 
 @given(st.lists(st.sampled_from(["a", "b", "c"]), max_size=14))
 @settings(max_examples=200, deadline=None)
 def test_repeat_words_by_brute_force(ws):
-    windows = [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
-    inside = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(5)}
-    assert quality.base_counts(" ".join(ws))[4] == len(inside)
+    assert _counts("zz", " ".join(ws), "zz")[1] == _plain_counts(" ".join(ws))
+
+
+def test_base_counts_of_a_long_text():
+    text = " ".join(f"w{k % 70_000}" for k in range(300_000))
+    assert _counts(text)[0][0] == 300_000 and _counts(text)[0][4] == 300_000
 
 
 def test_language_model_probabilities_sum_to_one_or_less():

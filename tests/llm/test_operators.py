@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,47 @@ def test_quality_bounds_of_the_corpus(spark):
     assert quality.RankFertility("/opt/tokenizers/byte_bpe_multi_50k.tiktoken").measure([" " * 2_000_000, ""])[0][1] == 0
 
 
+def test_quality_equals_brute_force(spark):
+    import base64
+    import math
+
+    import sentencepiece
+    import tiktoken
+
+    model = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    with open("/opt/tokenizers/byte_bpe_multi_50k.tiktoken", "rb") as f:
+        ranks = tiktoken.Encoding("r", pat_str=quality.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+
+    def entropy(ids):
+        return -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in quality.assess(docs.drop("source", "n_chars")).collect()}
+    rows = docs.collect()
+    layout = {model.PieceToId(p) for p in ("<0x09>", "<0x0A>", "<0x0D>")}
+    by = {}
+    for r in rows:
+        g, text = got[r.doc_id], r.text or ""
+        ids, more = model.encode(text), ranks.encode(text, disallowed_special=())
+        share = sum(model.IsByte(i) and i not in layout for i in ids) / max(1, len(ids))
+        assert g.n_tokens == len(ids) and g.script == quality.scripts([text])[0]
+        for a, b in ((g.chars_per_token, len(text) / max(1, len(ids))), (g.byte_share, share), (g.token_entropy, entropy(ids) if ids else 0), (g.chars_per_token_2, len(text) / max(1, len(more))), (g.token_entropy_2, entropy(more) if more else 0)):
+            assert abs(a - b) < 1e-9
+        if not g.base_failed:
+            by.setdefault((g.script, r.lang), []).append(round(g.chars_per_token_2, 3))
+    for r in rows:
+        g = got[r.doc_id]
+        band = quality.BANDS[g.script]
+        kept = not g.base_failed and band.least_chars <= g.chars_per_token <= band.most_chars and g.byte_share <= band.most_bytes
+        kept = kept and (g.n_tokens < band.entropy_from or min(g.token_entropy, g.token_entropy_2) >= band.least_entropy)
+        if kept:
+            held = sorted(by[g.script, r.lang])
+            at = lambda q: held[math.floor(q * len(held))]
+            kept = round(g.chars_per_token_2, 3) >= min(at(quality.TAIL), at(0.25) - quality.FENCE * (at(0.75) - at(0.25)))
+        assert g.kept == kept
+    assert any(not g.kept and not g.base_failed for g in got.values()) or len(got) < 300
+
+
 def test_scripts():
     assert quality.scripts(["plain", "naïve façade — “q”", "Привет, мир", "日本語です", "", "123"]) == ["latin", "latin", "cyrillic", "cjk", "latin", "latin"]
 
@@ -359,7 +401,8 @@ def test_pipeline_against_brute_force(spark):
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["quality_rules"](spark, docs, SF)
     assert kept.columns == docs.columns
-    counts = {r.doc_id: quality.base_counts(r.text) for r in docs.collect()}
+    texts = docs.select("doc_id", "text").collect()
+    counts = dict(zip([r.doc_id for r in texts], quality.base_counts(pa.array([r.text for r in texts], pa.string())).tolist()))
     base = {i for i, c in counts.items() if not (c[0] < 10 or 100 * c[4] > 20 * c[0])}
     assert {r.doc_id for r in kept.collect()} <= base and kept.count() >= 0.98 * len(base)
     lines = stages["line_dedup"](spark, kept, SF)
