@@ -1,6 +1,7 @@
 """Operators on Spark: contracts, edge cases and brute force on small tables."""
 
 import itertools
+import os
 import random
 import time
 from collections import Counter
@@ -424,3 +425,36 @@ def test_pipeline_of_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() <= len(rows)
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    names = ["kept", "script", "n_words", "edits", "n_lines", "class_id", "_lost", "contaminated", "least", "_unit", "id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.schema[-1].dataType == docs.schema[-1].dataType, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{k}-{r.doc_id}" for r in rows for k, n in enumerate(names))
+
+
+def test_scratch_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from tessera.llm import _store
+
+    class Cluster:
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return None
+
+    cluster = type("S", (), {"sparkContext": type("C", (Cluster,), {"master": "spark://host:7077"})(), "conf": Cluster()})()
+    with pytest.raises(ValueError):
+        _store.shared_dir(cluster)
+    kept = _store.materialise(spark, spark.range(3), "t")
+    assert kept.count() == 3
+    path = _store._PATHS[kept].removeprefix("file://")
+    assert os.path.isdir(path)
+    _store.release(kept)
+    assert not os.path.exists(os.path.dirname(path))
