@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -395,3 +396,59 @@ def test_sentences_of_a_page_all_stay():
     paragraphs = [f"Paragraph {k}, " + "word " * (k % 7 * 20) + "end." for k in range(60)]
     page = "<nav>m</nav><article>" + "".join(f"<p>{p}" for p in paragraphs) + "</article><div class=ad>x</div>"
     assert htmltext.main_text(page) == "\n\n".join(" ".join(p.split()) for p in paragraphs)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p>Long, enough, text.</p><div class="legal"><p>The law, says.</p></div><div class="popular">Liked.</div></article>', "Long, enough, text.\n\nThe law, says.\n\nLiked."),
+        ("<article><p>Long, enough, text.</p><ul><li><a href=x>One source</a></li><li><a href=y>Another</a></li></ul></article>", "Long, enough, text.\n\nOne source\n\nAnother"),
+        ("<div><div><p>Very, long, text, of, many, commas, " + "word " * 90 + "</p></div><div><p>The end.</p></div><div><a href=x>Link one</a> <a href=y>two</a></div></div>", "Very, long, text, of, many, commas, " + "word " * 89 + "word\n\nThe end."),
+        ('<article><p>Long, enough, text.</p><article class="comment"><p>Nice, one, really, nice.</p></article><div id="comments">a, b, c</div></article>', "Long, enough, text."),
+        ("<article><p>a<p title=\"x>y\" don't>b, c</p><p>5 < 6 > 4 & <3</p></article>", "a\n\nb, c\n\n5 < 6 > 4 & <3"),
+        ('<article><p class="x>never closed, but read on</p><p>text, of it</p></article>', "never closed, but read on\n\ntext, of it"),
+        ("<article><table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e</dl></article>", "a\n\nb\n\nc\n\nd\n\ne"),
+    ],
+)
+def test_nothing_else_is_dropped(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a x='", "<a x=\"'>", "<div>", "</x>", "<p><label>", "<ul><li>", "<div><p>x</div></p>", "<label><div></div>", "<!--", "<script>", "&", "<td><p>", "<b>y, "])
+def test_a_megabyte_of_anything_takes_linear_time(part):
+    page = "<article><p>First, of all.</p>" + part * (1_000_000 // len(part))
+    took = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - took < 20
+
+
+def test_scores_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        page, depth = [], 0
+        for _ in range(60):
+            kind = rng.randrange(6)
+            if kind < 2:
+                page.append(rng.choice(["<div>", "<section>", "<ul>", "<li>", "<blockquote>"]))
+            elif kind == 2:
+                page.append(rng.choice(["</div>", "</section>", "</ul>"]))
+            else:
+                page.append(rng.choice(["<p>one, two</p>", "<h2>t</h2>", "text, of a block ", "<a href=x>link, text</a>", "<p><a>x</a> yy, z</p>"]))
+        nodes, blocks = htmltext.parse("".join(page)), []
+        htmltext._blocks(nodes[0], blocks)
+        htmltext.score(nodes, blocks)
+        want = dict.fromkeys(map(id, nodes), 0.0)
+        chars = dict.fromkeys(map(id, nodes), 0)
+        for text, owner, link in blocks:
+            node = owner
+            while node is not None:
+                chars[id(node)] += len(text)
+                node = node.parent
+            if owner.tag in htmltext.HEADINGS:
+                continue
+            node, share = owner.parent if owner.tag in htmltext.PARAGRAPHS else owner, [1, 1 / 2]
+            while node is not None:
+                want[id(node)] += htmltext.points(text, link) * share[0]
+                share = [share[1], share[1] / 3]
+                node = node.parent
+        assert all(abs(n.score - want[id(n)]) < 1e-9 and n.chars == chars[id(n)] for n in nodes)
