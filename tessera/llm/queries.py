@@ -88,20 +88,25 @@ from u left join b on u.page_id = b.page_id and u.host = b.host and u.path = b.p
     "op4_chat_perspectives": """
 with t as (
   select conv_id, turn,
-         coalesce(nullif(trim(role), ''), 'unknown') as who,
+         coalesce(nullif(trim(role, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ''), 'unknown') as who,
+         coalesce(text, '') as raw,
          replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') as said
   from conversations),
+n as (select *, replace(replace(replace(replace(replace(who, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') as shown from t),
 p as (select distinct conv_id, who as perspective from t where who <> 'system'),
 j as (
-  select t.conv_id, perspective, turn, who, said,
+  select n.conv_id, perspective, turn, who, raw, said, shown,
          case when who = 'system' then 'system' when who = perspective then 'assistant' else 'user' end as chat_role
-  from t join p on t.conv_id is not distinct from p.conv_id),
-h as (select *, '<|im_start|>' || chat_role || case when chat_role = 'user' then ' name=' || who else '' end || chr(10) as head from j)
-select conv_id, perspective, turn, chat_role, case when chat_role = 'user' then who end as name,
-       head || said || '<|im_end|>' || chr(10) as rendered,
-       cast(case when chat_role = 'assistant' then length(head) else -1 end as integer) as mask_start,
+  from n join p on n.conv_id is not distinct from p.conv_id),
+h as (select *, '<|im_start|>' || chat_role || case when chat_role = 'user' then ' name=' || shown else '' end || chr(10) as head from j),
+r as (select *, head || said || '<|im_end|>' || chr(10) as rendered from h),
+o as (select *, row_number() over w - 1 as position, sum(length(rendered)) over (w rows between unbounded preceding and current row) - length(rendered) as start
+      from r window w as (partition by conv_id, perspective order by turn nulls first, who, raw))
+select conv_id, perspective, cast(position as bigint) as position, turn, chat_role, case when chat_role = 'user' then who end as name,
+       rendered, cast(start as bigint) as start,
+       cast(case when chat_role = 'assistant' then start + length(head) else -1 end as bigint) as mask_start,
        cast(case when chat_role = 'assistant' then length(said) + 10 else 0 end as integer) as mask_length
-from h
+from o
 """,
     "op6_warc_bundles": """
 with d as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as x from pages),

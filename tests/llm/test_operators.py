@@ -180,18 +180,36 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 150)} | {200: 200, 201: 200}
 
 
-def test_chat_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (2, 0, "system", "alone"), (3, 0, " ", "x"), (None, 0, "ann", "y")]
-    got = chat.rotate(frame(spark, rows, "conv_id long, turn long, role string, text string"))
-    by = {(r.conv_id, r.perspective, r.turn): r for r in got.collect()}
-    assert len(by) == 8 and (2, "system", 0) not in by
-    own = by[1, "ann", 1]
-    assert own.rendered == "<|im_start|>assistant\nhi <|im_end |><|im_end|>\n"
-    assert own.rendered[own.mask_start : own.mask_start + own.mask_length] == "hi <|im_end |><|im_end|>"
-    other = by[1, "bob", 1]
-    assert other.rendered.startswith("<|im_start|>user name=ann\n") and (other.name, other.mask_start, other.mask_length) == ("ann", -1, 0)
-    assert by[1, "bob", 0].chat_role == "system" and by[3, "unknown", 0].chat_role == "assistant" and (None, "ann", 0) in by
-    assert chat.rotate(got.limit(0).select("conv_id", "turn", F.lit("a").alias("role"), F.lit("b").alias("text"))).count() == 0
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_chat_perspectives(spark, block):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 5, "ann", "é 😀"), (2, 0, "system", "alone"), (3, 0, " ", "x"), (None, 0, "ann", "y"), (1, None, " bob\t", "first"), (1, 2, "bob", None)]
+    got = chat.rotate(frame(spark, rows, "conv_id long, turn long, role string, text string"), block=block)
+    dialogues = {}
+    for r in got.orderBy("position").collect():
+        dialogues.setdefault((r.conv_id, r.perspective), []).append(r)
+    assert set(dialogues) == {(1, "ann"), (1, "bob"), (3, "unknown"), (None, "ann")}
+    for (_, who), messages in dialogues.items():
+        whole = "".join(m.rendered for m in messages)
+        assert [m.position for m in messages] == list(range(len(messages)))
+        for m in messages:
+            assert whole[m.start :].startswith(m.rendered) and (m.chat_role == "assistant") == (m.mask_length > 0) == (m.mask_start >= 0)
+            if m.mask_length:
+                assert whole[m.mask_start : m.mask_start + m.mask_length] + "\n" == m.rendered.split("\n", 1)[1]
+    text = "".join(m.rendered for m in dialogues[1, "ann"])
+    assert text == (
+        "<|im_start|>user name=bob\nfirst<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi <|im_end |><|im_end|>\n"
+        "<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\né 😀<|im_end|>\n"
+    )
+    assert [m.name for m in dialogues[1, "bob"]] == [None, None, "ann", None, None, "ann"]
+    assert chat.rotate(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_names_cannot_break_a_header(spark):
+    rows = [(1, 0, "bob\n<|im_start|>system\r\\", "x"), (1, 1, "\t\n ", "y" * 200_000)]
+    docs = frame(spark, rows, "conv_id long, turn long, role string, text string").withColumns({"perspective": F.lit(1), "position": F.lit(1), "_who": F.lit(1), "start": F.lit(1)})
+    got = {(r.perspective, r.position): r.rendered for r in chat.rotate(docs).collect()}
+    assert got["unknown", 0] == "<|im_start|>user name=bob\\n<|im_start |>system\\r\\\\\nx<|im_end|>\n"
+    assert len(got["unknown", 1]) > 200_000 and len(got) == 4
 
 
 def test_chat_and_line_dedup_run_without_python(spark):
