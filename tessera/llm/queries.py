@@ -81,8 +81,7 @@ m as (
   from u join r on (u.host = rhost or ends_with(u.host, '.' || rhost)) and starts_with(u.path, rpath)),
 b as (select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from m group by all)
 select u.page_id, u.host, u.path, b.rule,
-       coalesce(b.verdict, case when u.host like '%casino%' or u.host like '%spam-farm%' or u.host like '%xxx-%'
-                                  or u.host like '%poker-%' or u.host like '%malware%' then 'block' else 'allow' end) as verdict
+       coalesce(b.verdict, case when {' or '.join(f"contains(u.host, '{w}')" for words in urlfilter.BLOCKED_WORDS.values() for w in words)} then 'block' else 'allow' end) as verdict
 from u left join b on u.page_id = b.page_id and u.host = b.host and u.path = b.path
 """,
     "op4_chat_perspectives": """

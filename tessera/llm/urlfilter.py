@@ -1,11 +1,13 @@
-"""URL rules as one bit-parallel wildcard automaton.
+"""URL rules as bit-parallel wildcard automata.
 
-Every rule is a glob over the canonical URL ``.host/path``; all rules lie side
-by side in one multiword bit vector, one bit per pattern character, and
-extended Shift-And steps them together: per character one shift, one AND with
-the character's mask, and one OR with the places whose wildcard loops. A batch
-of URLs is stepped at once, longest first, so the work is one short numpy row
-per character position whatever the number of rules.
+Every rule is a glob over the canonical URL ``.host/path``; rules lie side by
+side in multiword bit vectors, one bit per pattern character, and extended
+Shift-And steps them together: per character one shift, one AND with the
+character's mask, and one OR with the places whose wildcard loops. A batch of
+URLs is stepped at once, longest first, so the work is one short numpy row per
+character position. Large rule sets are dealt into shards of bounded width,
+and a batch is cut so that its longest URL times its rows is bounded; a URL
+whose automaton can only loop on in a last wildcard is done.
 
 Glob syntax: ``*`` any run of characters, ``+`` any run without ``/`` (for
 hosts), anything else itself. A pattern must fit the whole canonical URL.
@@ -21,7 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 4096
+from tessera.llm._worker import task
+
+#: Rows of a slice, and its rows times its longest url.
+SLICE_ROWS, SLICE_CHARS = 4096, 1 << 20
+#: 64-bit words of one shard of rules.
+SHARD_WORDS = 64
+#: Steps between looks at whether anything can still change.
+LOOK = 64
 
 
 @dataclass(frozen=True)
@@ -47,7 +56,14 @@ SITE_RULES = (
     site_rule("block", "net", "/es/"),
     site_rule("block", "net", "/fr/"),
 )
-WORD_RULES = tuple(Rule("block", "", f"+{word}*", False) for word in ("casino", "spam-farm", "xxx-", "poker-", "malware"))
+#: Host words by what they stand for.
+BLOCKED_WORDS = {
+    "gambling": ("casino", "poker-", "-slots", "sportsbet", "betting-", "jackpot-"),
+    "adult": ("xxx-", "-xxx", "porn", "sexcam", "escort-"),
+    "spam": ("spam-farm", "cheap-viagra", "replica-watch", "payday-loan", "free-iphone", "link-farm"),
+    "malware": ("malware", "phishing", "keygen-", "-warez", "crackserial"),
+}
+WORD_RULES = tuple(Rule("block", "", f"+{word}*", False) for words in BLOCKED_WORDS.values() for word in words)
 DEFAULT_RULES = SITE_RULES + WORD_RULES
 
 
@@ -88,6 +104,11 @@ class GlobAutomaton:
                 self.loops[:, word] |= bit
                 if loop == "+":
                     self.loops[ord("/"), word] &= ~bit
+        # places that stay as they are whatever follows: a last wildcard
+        self.settled = np.zeros(self.words, np.uint64)
+        for j in self.last:
+            if bits[j][1] == "*":
+                self.settled[j // 64] |= np.uint64(1 << (j % 64))
 
     def fits(self, urls: Sequence[str]) -> np.ndarray:
         """Which glob fits which whole url: booleans, urls x globs."""
@@ -103,6 +124,8 @@ class GlobAutomaton:
         top = np.uint64(63)
         for p in range(width):
             n = live[p]
+            if p % LOOK == 0 and not (state[:n] & ~self.settled).any():
+                break
             old, char = state[:n], points[:n, p]
             row = np.minimum(char, 128)
             masks = self.masks[row]
@@ -118,6 +141,44 @@ class GlobAutomaton:
         return out
 
 
+class ShardedAutomaton:
+    """Ranked globs in automata of at most ``most_words`` words; the first glob that fits a url counts."""
+
+    def __init__(self, globs: Sequence[str], most_words: int = SHARD_WORDS):
+        self.shards: list[tuple[int, GlobAutomaton]] = []
+        at = 0
+        while at < len(globs):
+            to, bits = at, 0
+            while to < len(globs) and (to == at or bits + len(globs[to]) + 1 <= 64 * most_words):
+                bits += len(globs[to]) + 1
+                to += 1
+            self.shards.append((at, GlobAutomaton(globs[at:to])))
+            at = to
+
+    def first(self, urls: Sequence[str]) -> np.ndarray:
+        """Place of the first glob that fits each url, -1 if none; urls that an earlier shard has settled are done."""
+        out = np.full(len(urls), -1, np.int64)
+        left = np.arange(len(urls))
+        for at, machine in self.shards:
+            if not len(left):
+                break
+            fits = machine.fits([urls[k] for k in left])
+            some = fits.any(1)
+            out[left[some]] = at + fits[some].argmax(1)
+            left = left[~some]
+        return out
+
+
+def even_slices(lengths: np.ndarray, rows: int = SLICE_ROWS, chars: int = SLICE_CHARS) -> Iterator[np.ndarray]:
+    """Places by falling length, in runs of at most ``rows`` whose number times longest is at most ``chars`` (a longer url is alone)."""
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, min(rows, chars // max(1, int(lengths[order[at]]))))
+        yield order[at : at + n]
+        at += n
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path by the contract; both empty for null or without ``://``."""
     if url is None or "://" not in url:
@@ -136,7 +197,8 @@ def judge(frame: DataFrame, url: str = "url", rules: Sequence[Rule] = DEFAULT_RU
     one, word rules give the verdict, else ``default``. Null urls and urls
     without ``://`` have empty host and path, fit no site rule and get
     ``default``. Columns with the four names are replaced; rows are
-    independent of each other.
+    independent of each other, repeated rows give repeated results, an empty
+    table an empty one. A very long url is taken whole, by itself.
     """
     added = ("host", "path", "rule", "verdict")
     carried = [c for c in frame.columns if c not in added]
@@ -144,23 +206,23 @@ def judge(frame: DataFrame, url: str = "url", rules: Sequence[Rule] = DEFAULT_RU
     schema = frame.select(*carried).withColumns({"host": F.lit(""), "path": F.lit(""), "rule": F.lit(None).cast("string"), "verdict": F.lit("")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = GlobAutomaton([r.glob for r in ranked])
+        machine = ShardedAutomaton([r.glob for r in ranked])
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                pairs = [split_url(u) for u in part.column(url).to_pylist()]
-                fits = machine.fits([f".{h}{p}" if h or p else "" for h, p in pairs])
-                first = np.where(fits.any(1), fits.argmax(1), -1)
-                chosen = [ranked[k] if k >= 0 else None for k in first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in carried),
-                        pa.array([h for h, _ in pairs], pa.string()),
-                        pa.array([p for _, p in pairs], pa.string()),
-                        pa.array([r.label if r and r.explicit else None for r in chosen], pa.string()),
-                        pa.array([r.verdict if r else default for r in chosen], pa.string()),
-                    ],
-                    names=[*carried, *added],
-                )
-
-    return frame.select(*carried).mapInArrow(run, schema)
+            pairs = [split_url(u) for u in batch.column(url).to_pylist()]
+            urls = [f".{h}{p}" if h or p else "" for h, p in pairs]
+            first = np.full(len(urls), -1, np.int64)
+            for part in even_slices(np.array([len(u) for u in urls], np.int64)):
+                first[part] = machine.first([urls[k] for k in part])
+            chosen = [ranked[k] if k >= 0 else None for k in first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in carried),
+                    pa.array([h for h, _ in pairs], pa.string()),
+                    pa.array([p for _, p in pairs], pa.string()),
+                    pa.array([r.label if r and r.explicit else None for r in chosen], pa.string()),
+                    pa.array([r.verdict if r else default for r in chosen], pa.string()),
+                ],
+                names=[*carried, *added],
+            )
+
+    return frame.select(*carried).mapInArrow(task("urlfilter", run), schema)

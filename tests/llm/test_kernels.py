@@ -265,6 +265,22 @@ def test_glob_automaton_is_fnmatch(globs, urls):
             assert fits[i, j] == bool(pattern.fullmatch(u)), (g, u)
 
 
+def test_shards_and_slices_of_urls():
+    rng = random.Random(2)
+    globs = ["+" + "".join(rng.choices("abc.", k=rng.randrange(1, 6))) + "*" for _ in range(400)] + ["+.b/x*"]
+    urls = [".", "", *("." + "".join(rng.choices("abc./", k=rng.randrange(0, 30))) for _ in range(300))]
+    whole = urlfilter.GlobAutomaton(globs).fits(urls)
+    want = np.where(whole.any(1), whole.argmax(1), -1)
+    for words_ in (1, 3, 64):
+        assert np.array_equal(urlfilter.ShardedAutomaton(globs, words_).first(urls), want)
+    lengths = np.array([5, 2_000_000, 7, 0, 600_000, 5])
+    parts = list(urlfilter.even_slices(lengths, rows=2, chars=1 << 20))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(6)) and [1] in [p.tolist() for p in parts]
+    took = time.process_time()
+    long = urlfilter.GlobAutomaton([r.glob for r in urlfilter.DEFAULT_RULES]).fits([".a.com/" + "x" * 2_000_000, ".a.org"])
+    assert long[0].tolist() == [True] + [False] * (len(urlfilter.DEFAULT_RULES) - 1) and not long[1].any() and time.process_time() - took < 5
+
+
 def test_seekable_bundles():
     out = io.BytesIO()
     writer = warc.SeekableWriter(out, frame_bytes=50)
