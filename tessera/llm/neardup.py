@@ -370,7 +370,8 @@ def classes(
     release(found)
     stars = materialise(spark, member.where("id <> pivot").select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct(), "stars")
     near = stars.select(F.col("u").alias("id")).union(stars.select(F.col("v").alias("id"))).distinct()
-    elements = materialise(spark, element_sets(base.join(near, "id", "left_semi"), size), "elements")
+    # candidates are a share of all documents: never shipped whole to every executor, at any size
+    elements = materialise(spark, element_sets(base.join(near.hint("merge"), "id", "left_semi"), size), "elements")
     links = materialise(spark, verify(stars, elements, threshold), "links")
     release(stars)
     first = components(spark, links)
