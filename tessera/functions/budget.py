@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from itertools import accumulate, takewhile
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,9 +16,10 @@ from pyspark.sql.types import StringType
 Tokenizer = Callable[[str], list[tuple[int, int]]]
 _WORDS = re.compile(r"\w+|[^\w\s]")
 OVERHEAD = 8
-#: What a concept may show, and the shares of its budget.
+#: What stands first in a concept, and the end of a cut line.
 REPRESENTATIONS = ("A", "B", "C", "D")
-SYNONYM_SHARE, PARENT_SHARE = 0.35, 0.15
+HEADING, DOTS = "{role} CONCEPT\nOntology: {ontology}\nPreferred label: {label}", " ..."
+CUT_ROOM, CUT_MARKS = 4, " ,;:"
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
@@ -41,47 +44,65 @@ def fit_list_native(prefix: Column, items: Column, budget: Column, sep: str = ";
     return F.aggregate(items, state, step, lambda s: s["text"])
 
 
+@dataclass(frozen=True)
+class Line:
+    """One optional line of a concept: who shows it, its place in the text, and its claim on the budget."""
+
+    name: str
+    heading: str
+    place: int
+    shown_by: str
+    share: float | None = None  # of the whole budget; None: what is left
+    whole_for: str = ""  # representations for which the share doesn't hold
+    spare: int = 0  # tokens left free for the line end
+
+
+#: Headings, shares and who shows what. The order is that of the claims, ``place`` that of the text.
+LINES = (
+    Line("synonyms", "Synonyms: ", 1, "BCD", 0.35, "B"),
+    Line("parents", "Parent concepts: ", 3, "D", 0.15),
+    Line("definition", "Definition: ", 2, "CD", spare=1),
+)
+
+
 def fit_list(tok: Tokenizer, prefix: str, items: Sequence[str], budget: int, sep: str = "; ") -> str:
-    """F18 in Python, for the renderer below."""
-    text = ""
-    for item in items:
-        longer = text + sep + item if text else prefix + item
-        if len(tok(longer)) > budget:
-            break
-        text = longer
-    return text
+    """F18 in Python: the longest run of first items that fits; growing lines, up to the first that is too long."""
+    growing = accumulate(items, lambda line, item: f"{line}{sep}{item}")
+    fitting = list(takewhile(lambda line: len(tok(line)) <= budget, (prefix + line for line in growing)))
+    return fitting[-1] if fitting else ""
 
 
 def fit_text(tok: Tokenizer, prefix: str, text: str, budget: int) -> str:
-    """the whole text if it fits, else cut at the end of a token and back to a blank, with `` ...``; empty if hopeless."""
-    if not text:
-        return ""
-    whole = prefix + text
-    spans = tok(whole)
-    if len(spans) <= budget:
-        return whole
-    if budget <= len(tok(prefix)) + 4:
-        return ""
-    cut = whole[: spans[budget - 2][1]].rpartition(" ")[0].rstrip(" ,;:")  # a token's room for the dots
-    return f"{cut} ..." if len(cut) > len(prefix) else ""
+    """a text under its heading; too long, it ends at the last blank before the token that still has room, with dots.
+
+    Nothing is shown if the heading leaves ``CUT_ROOM`` tokens or fewer, or
+    the cut would leave the heading alone.
+    """
+    ends = [end for _, end in tok(prefix + text)]
+    if text and len(ends) > budget:
+        room = budget - len(tok(prefix))
+        body = (prefix + text)[: ends[budget - 2]].rpartition(" ")[0][len(prefix) :].rstrip(CUT_MARKS) if room > CUT_ROOM else ""
+        text = body + DOTS if body else ""
+    return prefix + text if text else ""
 
 
 def entity_text(tok: Tokenizer, role: str, ontology: str, label: str, synonyms: Sequence[str], definition: str, parents: Sequence[str], rep: str, budget: int) -> str:
-    """Header, then by representation (A label, B synonyms, C + definition, D + parents) what the budget allows."""
+    """The heading, then every line of ``LINES`` that the representation shows, as far as its claim reaches."""
     if rep not in REPRESENTATIONS:
         raise ValueError(f"no representation {rep!r}")
-    head = f"{role} CONCEPT\nOntology: {ontology}\nPreferred label: {label}"
-    left = max(0, budget - len(tok(head)))
-    named = above = told = ""
-    if rep != "A" and synonyms:
-        named = fit_list(tok, "Synonyms: ", synonyms, left if rep == "B" else min(left, int(budget * SYNONYM_SHARE)))
-        left -= len(tok("\n" + named)) if named else 0
-    if rep == "D" and parents:
-        above = fit_list(tok, "Parent concepts: ", parents, min(left, int(budget * PARENT_SHARE)))
-        left -= len(tok("\n" + above)) if above else 0
-    if rep in "CD" and definition:
-        told = fit_text(tok, "Definition: ", definition, left - 1)
-    return "\n".join(x for x in (head, named, told, above) if x)
+    values = {"synonyms": synonyms, "definition": definition, "parents": parents}
+    texts = {0: HEADING.format(role=role, ontology=ontology, label=label)}
+    free = max(0, budget - len(tok(texts[0])))
+    for line in LINES:
+        value = values[line.name]
+        if not value or rep not in line.shown_by:
+            continue
+        claim = free if line.share is None or rep in line.whole_for else min(free, int(budget * line.share))
+        fit = fit_text if isinstance(value, str) else fit_list
+        if shown := fit(tok, line.heading, value, claim - line.spare):
+            texts[line.place] = shown
+            free -= len(tok("\n" + shown))
+    return "\n".join(texts[place] for place in sorted(texts))
 
 
 def concept_budget(max_len: int, head: int) -> int:

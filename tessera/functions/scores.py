@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,16 @@ def nearest_rank(values: Column, share: float) -> Column:
     ordered = F.array_sort(values)
     at = F.least(F.floor(F.lit(share) * F.size(ordered)).cast("int"), F.size(ordered) - 1)
     return F.element_at(ordered, at + 1)
+
+
+def rank_quantiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """A21, Q7 for groups of any size: per group the value at index int(share * n) of the sorted values, and the largest as ``max``.
+
+    Values are counted first; a running sum over distinct values places the
+    ranks, so no group's rows are gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)
+    placed = counts.withColumn("_upto", F.sum("_c").over(group.orderBy(value))).withColumn("_n", F.sum("_c").over(group))
+    at = lambda share: F.least(F.floor(F.lit(share) * F.col("_n")), F.col("_n") - 1)
+    return placed.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > at(share), F.col(value))).alias(name) for name, share in shares.items()), F.max(value).alias("max"))

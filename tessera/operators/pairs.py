@@ -1,4 +1,4 @@
-"""Pools to pairs, and the joins on them."""
+"""Pools to pairs, and the joins on them."""
 
 from __future__ import annotations
 
@@ -76,6 +76,38 @@ def inspect_pools(pool: DataFrame) -> DataFrame:
     )
 
 
+def pool_sizes(pool: DataFrame) -> DataFrame:
+    """How many queries have pools of each size."""
+    return pool.groupBy(F.size("cands").alias("size")).agg(F.count(F.lit(1)).alias("queries"))
+
+
+def distinct_targets(pool: DataFrame, *by: str) -> DataFrame:
+    """Number of distinct candidate targets."""
+    return pool.select(*by, F.explode("cands").alias("cand")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("targets"))
+
+
+def source_overlaps(pools: DataFrame) -> DataFrame:
+    """For every two splits of ``pools(split, src, ...)`` the number of sources in both."""
+    held = pools.select("split", "src").distinct()
+    other = held.select(F.col("split").alias("other"), "src")
+    return held.join(other, "src").where(F.col("split") < F.col("other")).groupBy("split", "other").agg(F.count(F.lit(1)).alias("sources"))
+
+
+def ordered_entities(pools: DataFrame, source: bool) -> DataFrame:
+    """``task_entities`` in code-point order."""
+    return task_entities(pools, source).orderBy("iri")
+
+
+def first_queries(pool: DataFrame, most: int) -> DataFrame:
+    """The first queries in file order (a debug limit; 400 dev queries)."""
+    return pool.orderBy("query_idx").limit(most)
+
+
+def combined_scores(pairs: DataFrame, lexical: DataFrame, learned: DataFrame, lex: str = "lex", margin: str = "margin") -> DataFrame:
+    """Every pair with its score from a lexical and a learned run, each checked against the pair it was stored for."""
+    return checked_scores(checked_scores(pairs, lexical, lex), learned, margin)
+
+
 def gold_deciles(pool: DataFrame) -> DataFrame:
     """Golds by tenth of the pool."""
     at = F.array_position("cands", F.col("gold")) - 1

@@ -1,4 +1,4 @@
-"""Ranking and its measures."""
+"""Ranking and its measures."""
 
 from __future__ import annotations
 
@@ -62,6 +62,21 @@ def checked_ranking(rankings: DataFrame, pool: DataFrame) -> DataFrame:
     return joined.where(F.when(F.coalesce(same, F.lit(False)), F.lit(True)).otherwise(fault)).select("query_idx", "src", "ranked").orderBy("query_idx")
 
 
+def evaluate(rankings: DataFrame, pool: DataFrame, measured: bool = True) -> DataFrame:
+    """Rankings checked against their pools; with ``measured`` their metrics, else (a split without gold) only how many passed."""
+    sound = checked_ranking(rankings, pool)
+    if not measured:
+        return sound.agg(F.count(F.lit(1)).alias("queries"), F.lit(True).alias("validated"))
+    golds = sound.join(pool.select("query_idx", "gold"), "query_idx")
+    at = F.array_position("ranked", F.coalesce("gold", F.lit("")))
+    return metrics(golds.select("query_idx", F.when(at > 0, at).cast("int").alias("gold_rank"))).withColumn("validated", F.lit(True))
+
+
+def dev_metrics(scores: DataFrame, margin: str = "margin", *by: str) -> DataFrame:
+    """Metrics of a checkpoint's dev ranking, by margins as they are (not rounded as in files)."""
+    return metrics(gold_ranks(ranked(scores, margin, *by), *by), *by)
+
+
 def submission_problems(rows: DataFrame, pool: DataFrame, size: int, most: int = 20) -> DataFrame:
     """What is wrong with submitted rows ``(query_idx, cells, src, ranked)``, the first ``most``.
 

@@ -1,4 +1,4 @@
-"""Splits and negatives.
+"""Splits and negatives.
 
 Two modes: ``exact`` repeats the seeded shuffles on small lists of distinct
 sources or indices; the hashed mode orders by md5 and needs no order of rows,
@@ -109,3 +109,17 @@ def training_pairs(scored: DataFrame, ratio: int = 5, seed: int = 0, score: str
 def gold_block(label: Column) -> Column:
     """one-hot over the two options, and the label."""
     return F.struct(F.array((label == 1).cast("double"), (label == 0).cast("double")).alias("probabilities"), F.when(label == 1, "A").otherwise("B").alias("label"))
+
+
+def case_counts(cases: DataFrame, state_tokens: str = "state_tokens") -> DataFrame:
+    """Positives, negatives, and the tokens of the longest state."""
+    return cases.agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"), F.max(state_tokens).alias("max_state_tokens"))
+
+
+def raw_subset(spark, path: str, query_idx: DataFrame) -> DataFrame:
+    """``(ord, value)``, the header (``ord`` 0) and the lines of some queries, verbatim as they stand in the file."""
+    from tessera.sources.pools import with_line_numbers
+
+    lines = with_line_numbers(spark.read.text(path).select("value", "_metadata")).select("ord", "value")
+    wanted = query_idx.select((F.col("query_idx") + 1).alias("ord")).distinct()
+    return lines.where("ord = 0").unionByName(lines.join(wanted, "ord", "left_semi")).orderBy("ord")

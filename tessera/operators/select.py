@@ -1,10 +1,13 @@
-"""Choosing training seeds and collecting runs."""
+"""Choosing training seeds and collecting runs."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.schema import POOL_SIZE
+
 
 def training_completed(done: str = "epochs_done", planned: str = "epochs_planned"):
     """Whether training ended, and in words."""
@@ -61,23 +64,44 @@ def hard_subset(ranks: DataFrame, *by: str) -> DataFrame:
 
 
 def paired_bootstrap(ranks: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """95 % interval of the mean gain in reciprocal rank on the hard subset.
+    """95 % interval of the mean gain in reciprocal rank on the hard subset, by drawing its queries with replacement.
 
-    A Poisson bootstrap: each query weighs in each resample by a hashed count
-    of mean 1, so the resamples are one aggregation with map-side combine and
-    no query list is drawn or collected.
+    How often each of the distinct gains is drawn is multinomial, so a
+    resample needs the number of queries of each gain and not the queries.
+    A gain is a pair of ranks in a pool, so there are at most
+    ``(POOL_SIZE + 2) ** 2`` of them whatever the number of queries; only
+    these are gathered. No hard query gives null limits.
     """
     rr = lambda c: F.coalesce(1.0 / F.col(c), F.lit(0.0))
-    gain = ranks.where(F.coalesce(F.col("lex_rank") != 1, F.lit(True))).select("query_idx", (rr("blend_rank") - rr("lex_rank")).alias("gain"))
-    u = F.pmod(F.xxhash64("query_idx", "resample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233  # inverse of the Poisson(1) distribution
-    for k in range(1, 9):
-        total += term
-        weight = F.when(u >= total, F.lit(k)).otherwise(weight)
-        term /= k
-    drawn = gain.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight).where("w > 0")
-    means = drawn.groupBy("resample").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("mean"))
-    return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    hard = ranks.where(F.coalesce(F.col("lex_rank") != 1, F.lit(True))).groupBy("lex_rank", "blend_rank").agg(F.count(F.lit(1)).alias("n"))
+    held = hard.select("lex_rank", "blend_rank", "n", (rr("blend_rank") - rr("lex_rank")).alias("gain")).orderBy("lex_rank", "blend_rank").limit((POOL_SIZE + 2) ** 2 + 1).collect()
+    if len(held) > (POOL_SIZE + 2) ** 2:
+        raise ValueError("ranks beyond the size of a pool")
+    schema = "low double, high double"
+    if not held:
+        return ranks.sparkSession.createDataFrame([(None, None)], schema)
+    n, gains = np.array([r.n for r in held], float), np.array([r.gain for r in held])
+    rng = np.random.default_rng(seed)
+    means = np.concatenate([rng.multinomial(int(n.sum()), n / n.sum(), size=min(100, resamples - at)) @ gains / n.sum() for at in range(0, resamples, 100)])
+    low, high = np.percentile(means, [2.5, 97.5])
+    return ranks.sparkSession.createDataFrame([(float(low), float(high))], schema)
+
+
+def seed_names(pair: str, seed: int, ratio: int = 5, rep: str = "D") -> dict[str, str]:
+    """F32: where the files of a training seed lie; the first seed has no suffix. Names are of this engine's own pattern."""
+    run = "-".join(["learned", f"neg{ratio}", f"rep{rep}", *([f"seed{seed}"] if seed else [])])
+    folder = f"checkpoints/{pair.lower()}/{run}"
+    return {"run": run, "checkpoint": f"{folder}/best", "train_config": f"{folder}/train_config.json", "dev_dir": f"outputs/{pair}/train-dev/{run}", "dev_blend_dir": f"outputs/{pair}/train-dev/lexical+{run}"}
+
+
+def seed_summary(seeds: DataFrame, *metrics: str) -> DataFrame:
+    """Per pair the measures of every completed seed, as a JSON object by seed."""
+    ok, _ = training_completed()
+    each = seeds.select("*", ok).where("completed")
+    shown = F.struct(F.col("seed").cast("string").alias("seed"), F.to_json(F.struct(*metrics)).alias("measures"))
+    listed = F.array_sort(F.collect_list(shown))
+    pairs = F.transform(listed, lambda x: F.concat(F.lit('"'), x["seed"], F.lit('":'), x["measures"]))
+    return each.groupBy("pair").agg(F.count(F.lit(1)).alias("seeds"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("per_seed"))
 
 
 def hardest(scored: DataFrame, score: str = "lex") -> DataFrame:

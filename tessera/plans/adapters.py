@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import names, token_set
+from tessera.functions.text import collapse, names, token_set
 from tessera.operators.scorers import dot_margin
 from tessera.schema import POOL_SIZE, RDFS, SKOS
 
@@ -42,15 +42,22 @@ def with_bucket(frame: DataFrame, key: str, rows: int) -> DataFrame:
 def gold_documents(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
     """``(item_id, gold)``: the smallest document that holds the item verbatim.
 
-    Candidates share the item's longest inner word; only they are searched.
+    A document can hold an item only if it has the item's longest inner word;
+    the items, which are few, say which words of a document are looked at.
+    Items without an inner word are searched in every document, item by item.
     """
     inner = F.expr("filter(split(text, '\\\\s+'), w -> w <> '')")
     key = F.array_max(F.transform(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    items = benchmark.where(F.size(inner) >= 3).select("item_id", F.col("text").alias("item"), key.alias("word"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.expr("split(text, '\\\\s+')"))).alias("word"))
+    items = benchmark.where("text is not null").select("item_id", F.col("text").alias("item"), key.alias("word"))
+    words = items.where("word is not null").select("word").distinct()
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.expr("split(text, '\\\\s+')"))).alias("word")).join(words, "word", "left_semi")
     maybe = held.join(items.select("item_id", "word"), "word").select("item_id", "doc_id")
+    short = items.where("word is null").select("item_id", "item")
     sure = maybe.join(items.select("item_id", "item"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item")))
-    return sure.groupBy("item_id").agg(F.min("doc_id").alias("gold"))
+    # an item of one or two words is looked for in the words of texts, cut down to distinct documents and items
+    loose = docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("item")))
+    found = sure.select("item_id", "doc_id").unionByName(loose.select("item_id", "doc_id"))
+    return found.groupBy("item_id").agg(F.min("doc_id").alias("gold"))
 
 
 def pool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,18 +92,18 @@ def pools(rows: DataFrame) -> DataFrame:
 
 
 def text_entities(frame: DataFrame, key: str, prefix: str) -> DataFrame:
-    """A text as an entity: first line the label, the next five synonyms, the rest the definition; names and token sets once per entity."""
+    """A text as an entity: the first line its label, all others synonyms, the text on one line its definition; names and token sets once per entity."""
     lines = F.split("text", "\n", -1)
-    base = frame.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("iri"), F.get(lines, F.lit(0)).alias("label"), F.slice(lines, 2, 5).alias("synonyms"), F.array_join(F.slice(lines, 7, 1 << 30), " ").alias("definition"))
+    base = frame.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("iri"), F.get(lines, F.lit(0)).alias("label"), F.slice(lines, 2, 1 << 30).alias("synonyms"), collapse(F.col("text")).alias("definition"))
     named = base.withColumn("names", names(F.col("label"), F.col("synonyms")))
     return named.withColumn("sets", F.transform("names", token_set))
 
 
 def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored pools of embeddings: queries are the ids divisible by 20, candidates of their hash bucket; margin by dot product, lex by shared signs."""
+    """Scored pools of embeddings: every vector is a query, its candidates come from its hash bucket; margin by dot product, lex by shared signs."""
     e = read(spark, sf_dir, "embeddings")
     n = _buckets(e, VECTOR_BUCKET_ROWS)
-    q = e.where("vec_id % 20 = 0").join(n).select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("a"), F.col("label").alias("la"), _bucket("q|", "vec_id", F.col("buckets")).alias("bucket"))
+    q = e.join(n).select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("a"), F.col("label").alias("la"), _bucket("q|", "vec_id", F.col("buckets")).alias("bucket"))
     c = e.join(n).select(F.col("vec_id").alias("cand"), F.col("embedding").alias("b"), F.col("label").alias("lb"), _bucket("c|", "vec_id", F.col("buckets")).alias("bucket"))
     h = _md5(F.col("query_idx").cast("string"), "|", F.col("cand").cast("string"))
     w = Window.partitionBy("query_idx").orderBy("h", "cand")

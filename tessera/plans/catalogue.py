@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import budget, similarity, text
-from tessera.functions.scores import minmax, nearest_rank, sigmoid
+from tessera.functions.scores import minmax, rank_quantiles, sigmoid
 from tessera.operators import blend, entities, pairs, rank, sampling, select, validate
 from tessera.plans import adapters
 from tessera.plans.adapters import read
-from tessera.schema import RDFS, SKOS, roles
+from tessera.schema import OWL, RDFS, SKOS, roles
+from tessera.settled import scratch_path
+from tessera.sources import ofn, pools, rdfxml
+from tessera.streaming import incremental
 from tessera.streaming.incremental import complete_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +54,7 @@ def _first_wins(c: str) -> str:
 
 _POOL = """
 nb as (select greatest(1, count(*) // 250) as b from documents),
-gold as (select b.item_id, min(d.doc_id) as gold from benchmark b join documents d on contains(d.text, b.text)
-         where len(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> '')) >= 3 group by b.item_id),
+gold as (select b.item_id, min(d.doc_id) as gold from benchmark b join documents d on contains(d.text, b.text) group by b.item_id),
 bi as (select item_id, cast('0x' || substr(md5('i|' || item_id), 1, 8) as bigint) % b as bucket from benchmark, nb),
 bd as (select doc_id, cast('0x' || substr(md5('b|' || doc_id), 1, 8) as bigint) % b as bucket from documents, nb),
 pc as (select item_id, doc_id from bi join bd using (bucket) union select item_id, gold from gold),
@@ -65,7 +67,7 @@ pool as (select item_id as query_idx, 'i' || item_id as src, 'd' || gold as gold
 
 def _names(table: str, key: str, prefix: str) -> str:
     lines = "string_split(text, chr(10))"
-    listed = f"list_filter(list_transform(list_slice({lines}, 1, 6), lambda n: {_norm('n')}), lambda n: n <> '')"
+    listed = f"list_filter(list_transform({lines}, lambda n: {_norm('n')}), lambda n: n <> '')"
     return f"select '{prefix}' || {key} as iri, case when len(l) = 0 then [''] else {_first_wins('l')} end as names from (select {key}, {listed} as l from {table})"
 
 
@@ -88,7 +90,7 @@ select round_even(sum(case when gold_rank > 0 then n / gold_rank else 0 end orde
        cast(sum(n) as bigint) as queries"""
 _VECTORS = """
 vb as (select greatest(1, count(*) // 150) as b from embeddings),
-vq as (select vec_id as q, cast(embedding as double[]) as a, label as la, cast('0x' || substr(md5('q|' || vec_id), 1, 8) as bigint) % b as bucket from embeddings, vb where vec_id % 20 = 0),
+vq as (select vec_id as q, cast(embedding as double[]) as a, label as la, cast('0x' || substr(md5('q|' || vec_id), 1, 8) as bigint) % b as bucket from embeddings, vb),
 vc as (select vec_id as c, cast(embedding as double[]) as e, label as lb, cast('0x' || substr(md5('c|' || vec_id), 1, 8) as bigint) % b as bucket from embeddings, vb),
 vm as (select q, c, a, e, la, lb, row_number() over (partition by q order by md5(q || '|' || c), c) as m from vq join vc using (bucket) where q <> c),
 vs as (select q as query_idx, 'v' || q as src, 'v' || c as cand, cast(m - 1 as integer) as cand_pos, round_even(list_dot_product(a, e), 6) as margin,
@@ -147,6 +149,118 @@ def pool_inspect(spark, sf_dir):
     return pairs.inspect_pools(adapters.pools(adapters.pool_rows(spark, sf_dir)))
 
 
+@query(f"with {_POOL}, q as (select query_idx, count(*) as n from pool group by 1) select cast(n as integer) as size, count(*) as queries from q group by 1")
+def pool_sizes(spark, sf_dir):
+    return pairs.pool_sizes(adapters.pools(adapters.pool_rows(spark, sf_dir)))
+
+
+@query(f"with {_POOL}, s as (select query_idx % 3 as split, cand from pool) select split, count(distinct cand) as targets from s group by 1")
+def split_targets(spark, sf_dir):
+    """Distinct candidate targets of each split."""
+    return pairs.distinct_targets(adapters.pools(adapters.pool_rows(spark, sf_dir)).withColumn("split", F.col("query_idx") % 3), "split")
+
+
+@query("with s as (select distinct l_linestatus || l_returnflag as split, l_partkey as src from lineitem) select a.split, b.split as other, count(*) as sources from s a join s b on a.src = b.src and a.split < b.split group by 1, 2")
+def source_overlaps(spark, sf_dir):
+    """Sources that two splits share."""
+    return pairs.source_overlaps(read(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("split"), F.col("l_partkey").alias("src")))
+
+
+@query(f"with {_POOL} select distinct cand as iri from pool")
+def task_entities(spark, sf_dir):
+    """A01, O01, T01."""
+    return pairs.ordered_entities(adapters.pools(adapters.pool_rows(spark, sf_dir)), False)
+
+
+@query(f"with {_POOL}, q as (select query_idx, src, gold, list(cand order by cand_pos) as cands from pool group by all) select cast(row_number() over (order by query_idx) - 1 as bigint) as query_idx, src, gold, cands from q")
+def pool_file(spark, sf_dir):
+    """Pools written as a file and read back in its order."""
+    path = scratch_path(spark, "pools")
+    pools.write_pool(adapters.pools(adapters.pool_rows(spark, sf_dir)), path)
+    return pools.read_pool(spark, path)
+
+
+@query(f"with {_VECTORS} select query_idx, src, cand, cand_pos, margin from scores")
+def score_file(spark, sf_dir):
+    """Scores written with six decimals and read back."""
+    path = scratch_path(spark, "scores")
+    s = adapters.vector_scores(spark, sf_dir).select("query_idx", "src", "cand", "cand_pos", "margin")
+    pools.write_scores(s, path, {"margin": 6})
+    return pools.read_scores(spark, path, "query_idx bigint, src string, cand string, cand_pos int, margin double")
+
+
+@query(f"with {_VECTORS} select query_idx, cand_pos, cand, lex from scores")
+def resumed_scores(spark, sf_dir):
+    """A first run of half the queries, then one that scores what is pending."""
+    path = scratch_path(spark, "resumed")
+    s = adapters.vector_scores(spark, sf_dir)
+    pool = adapters.pools(s)
+    lexical = s.select("query_idx", "cand_pos", "cand", "lex")
+    score = lambda todo: pairs.explode_pool(todo).select("query_idx", "cand_pos").join(lexical, ["query_idx", "cand_pos"])
+    incremental.score_resumably(spark, pairs.first_queries(pool, 200), score, path)
+    return incremental.score_resumably(spark, pool, score, path).select("query_idx", "cand_pos", "cand", "lex")
+
+
+_OFN_HEAD = ("Prefix(:=<http://ex.org/id/>)", f"Prefix(rdfs:=<{RDFS}>)", f"Prefix(skos:=<{SKOS}>)", "Ontology(<http://ex.org/o>")
+
+
+def _ofn_lines(spark, sf_dir) -> DataFrame:
+    """Nations and regions as functional syntax: prefixes, declarations, labels, hierarchy."""
+    row = lambda frame, part, key, line: frame.select(F.lit(part).alias("part"), F.col(key).cast("long").alias("key"), line.alias("value"))
+    n, r, s = (read(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    of = lambda shape, *c: F.format_string(shape, *map(F.col, c))
+    lines = spark.createDataFrame([(0, k, line) for k, line in enumerate(_OFN_HEAD)], "part int, key long, value string")
+    for part in (
+        row(r, 1, "r_regionkey", of("Declaration(Class(:r%s))", "r_regionkey")),
+        row(n, 2, "n_nationkey", of("Declaration(Class(:n%s))", "n_nationkey")),
+        row(s, 3, "s_suppkey", of("Declaration(Class(:s%s))", "s_suppkey")),
+        row(r, 4, "r_regionkey", of('AnnotationAssertion(rdfs:label :r%s "%s (region)"@en)', "r_regionkey", "r_name")),
+        row(n, 5, "n_nationkey", of('AnnotationAssertion(skos:prefLabel :n%s "%s"@en-us)', "n_nationkey", "n_name")),
+        row(s, 6, "s_suppkey", of('AnnotationAssertion(skos:altLabel :s%s "%s"@fr)', "s_suppkey", "s_name")),
+        row(n, 7, "n_nationkey", of("SubClassOf(:n%s :r%s)", "n_nationkey", "n_regionkey")),
+        row(s, 8, "s_suppkey", of("SubClassOf(:s%s ObjectIntersectionOf(:n%s ObjectSomeValuesFrom(:p :r0)))", "s_suppkey", "s_nationkey")),
+        row(r, 9, "r_regionkey", of("SubClassOf(ObjectSomeValuesFrom(:p :r%s) :r0)", "r_regionkey")),
+    ):
+        lines = lines.unionByName(part)
+    return lines.unionByName(spark.createDataFrame([(10, 0, ")")], "part int, key long, value string")).orderBy("part", "key").select("value")
+
+
+def _written(lines: DataFrame, name: str) -> str:
+    path = scratch_path(lines.sparkSession, name)
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@query("select cast(4 + 4 * (select count(*) from region) - (select count(*) from region) + 3 * (select count(*) from nation) + 3 * (select count(*) from supplier) + 1 as bigint) as lines, (select count(*) from region) + (select count(*) from nation) + (select count(*) from supplier) as declared_classes, (select count(*) from region) + (select count(*) from nation) + (select count(*) from supplier) as annotation_assertions, (select count(*) from nation) as subclass_named, (select count(*) from supplier) as subclass_intersection, (select count(*) from region) as gci_skipped")
+def ofn_counters(spark, sf_dir):
+    """A file in functional syntax, counted by kind of line."""
+    _, stats = ofn.parse_ofn(spark, _written(_ofn_lines(spark, sf_dir), "ofn"))
+    return stats.select("lines", "declared_classes", "annotation_assertions", "subclass_named", "subclass_intersection", "gci_skipped")
+
+
+@query("""select 'http://ex.org/id/r' || r_regionkey as iri, 'annotation' as kind, r_name || ' (region)' as value from region union all select 'http://ex.org/id/n' || n_nationkey, 'annotation', n_name from nation
+union all select 'http://ex.org/id/n' || n_nationkey, 'parent', 'http://ex.org/id/r' || n_regionkey from nation union all select 'http://ex.org/id/s' || s_suppkey, 'parent', 'http://ex.org/id/n' || s_nationkey from supplier""")
+def ofn_axioms(spark, sf_dir):
+    """Annotations and parents of a file in functional syntax."""
+    axioms, _ = ofn.parse_ofn(spark, _written(_ofn_lines(spark, sf_dir), "ofn"))
+    return axioms.where("kind in ('annotation', 'parent')").select("iri", "kind", F.coalesce("obj", "value").alias("value"))
+
+
+@query(f"""select 'http://ex.org/id/n' || n_nationkey as iri, 'annotation' as kind, '{RDFS}label' as prop, n_name as value from nation union all select 'http://ex.org/id/n' || n_nationkey, 'parent', null, 'http://ex.org/id/r' || n_regionkey from nation
+union all select 'http://ex.org/id/r' || r_regionkey, 'annotation', '{RDFS}label', r_name from region""")
+def rdfxml_axioms(spark, sf_dir):
+    """Annotations and parents of a file in RDF/XML."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    head = '<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="{}" xmlns:owl="{}">'.format(RDFS, OWL)
+    ids = "http://ex.org/id/"
+    lines = spark.createDataFrame([(0, 0, head)], "part int, key long, value string")
+    lines = lines.unionByName(n.select(F.lit(1).alias("part"), F.col("n_nationkey").cast("long").alias("key"), F.format_string(f'<owl:Class rdf:about="{ids}n%s"><rdfs:label>%s</rdfs:label><rdfs:subClassOf rdf:resource="{ids}r%s"/></owl:Class>', "n_nationkey", "n_name", "n_regionkey").alias("value")))
+    lines = lines.unionByName(r.select(F.lit(2).alias("part"), F.col("r_regionkey").cast("long").alias("key"), F.format_string(f'<rdf:Description rdf:about="{ids}r%s"><rdf:type rdf:resource="{OWL}Class"/><rdfs:label>%s</rdfs:label></rdf:Description>', "r_regionkey", "r_name").alias("value")))
+    lines = lines.unionByName(spark.createDataFrame([(3, 0, "</rdf:RDF>")], "part int, key long, value string")).orderBy("part", "key").select("value")
+    axioms = rdfxml.read_rdfxml(spark, _written(lines, "owl"))
+    return axioms.where("kind in ('annotation', 'parent')").select("iri", "kind", F.when(F.col("kind") == "annotation", F.col("prop")).alias("prop"), F.coalesce("obj", "value").alias("value"))
+
+
 @query(f"with {_POOL} select cast(cand_pos // 10 as bigint) as bucket, count(*) as n from pool where cand = gold group by 1")
 def gold_deciles(spark, sf_dir):
     return pairs.gold_deciles(adapters.pools(adapters.pool_rows(spark, sf_dir)))
@@ -189,12 +303,42 @@ def lex_full_part(spark, sf_dir):
     base = part.select("p_partkey", text.names(F.col("p_name"), F.array("p_type")).alias("names"))
     base = adapters.with_bucket(base.withColumn("sets", F.transform("names", text.token_set)), "p_partkey", adapters.BUCKET_ROWS)
     both = base.alias("a").join(base.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
+    return _all_features(both)
+
+
+def _all_features(both: DataFrame) -> DataFrame:
     x, y = F.col("a.names"), F.col("b.names")
     scored = both.select(F.col("a.p_partkey").alias("query_idx"), F.col("b.p_partkey").alias("cand"), similarity.label_equal(x, y).alias("e_label"), similarity.name_equal(x, y).alias("e_name"), similarity.best_jaccard(F.col("a.sets"), F.col("b.sets")).alias("j"), x.alias("x"), y.alias("y"))
     scored = scored.withColumn("r", similarity.ratio_or_exact(F.col("e_name"), F.col("x"), F.col("y")))
     return scored.select("query_idx", "cand", "e_label", "e_name", F.bround("j", 6).alias("j"), F.bround("r", 6).alias("r"), F.bround(similarity.lex_score(F.col("e_label"), F.col("e_name"), F.col("j"), F.col("r")), 6).alias("lex_score"))
 
 
+_LCS = """
+lcs as (
+  select a, b, 0 as i, list_transform(range(0, length(b) + 1), lambda j: 0) as prev from names
+  union all
+  select a, b, i + 1, list_concat([0], list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when substr(b, cast(k as bigint), 1) = substr(a, i + 1, 1) then prev[k] + 1 else prev[k + 1] end)))) from lcs where i < length(a))
+"""
+
+
+@query(f"""with recursive p as (select p_partkey, p_brand, p_size, list_filter([{_norm('p_name')}, {_norm('p_type')}], lambda n: n <> '') as l from part),
+n as (select p_partkey, p_brand, p_size, case when len(l) = 0 then [''] else {_first_wins('l')} end as names from p),
+pr as (select x.p_partkey as query_idx, y.p_partkey as cand, x.names as s, y.names as t from n x join n y on x.p_brand = y.p_brand and x.p_size = y.p_size and x.p_partkey <> y.p_partkey),
+names as (select distinct a, b from (select unnest(s) as a, t from pr), lateral (select unnest(t) as b)), {_LCS},
+ratio as (select a, b, case when length(a) + length(b) = 0 then 1.0 else 2.0 * list_last(prev) / (length(a) + length(b)) end as r from lcs where i = length(a)),
+best as (select query_idx, cand, max(r) as r from (select query_idx, cand, a, t from pr, lateral (select unnest(s) as a)) u, lateral (select unnest(t) as b) v join ratio on ratio.a = u.a and ratio.b = v.b group by 1, 2),
+f as (select query_idx, cand, case when s[1] = t[1] then 1 else 0 end as e_label, case when len(list_intersect(s, t)) > 0 then 1 else 0 end as e_name,
+             list_max(flatten(list_transform(list_transform(s, lambda n: list_distinct({_tokens('n')})), lambda x: list_transform(list_transform(t, lambda n: list_distinct({_tokens('n')})), lambda y: {_JACCARD})))) as j from pr)
+select query_idx, cand, cast(e_label as integer) as e_label, cast(e_name as integer) as e_name, round_even(j, 6) as j, round_even(r, 6) as r, round_even((e_label + e_name + j + r) / 4, 6) as lex_score
+from f join best using (query_idx, cand)""")
+def lex_full_score(spark, sf_dir):
+    """All four features of parts of one brand and size."""
+    base = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", text.names(F.col("p_name"), F.array("p_type")).alias("names"))
+    base = base.withColumn("sets", F.transform("names", text.token_set))
+    both = base.alias("a").join(base.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
+    return _all_features(both)
+
+
 # --- two scores and their blend ---
 
 
@@ -274,6 +418,28 @@ def hardest_negative(spark, sf_dir):
     return select.hardest(adapters.vector_scores(spark, sf_dir))
 
 
+@query(f"""with {_VECTORS}, {_SCALED}, b as (select query_idx, cand_pos, cand, round_even(0.3 * prob + 0.7 * lex, 9) as score from scaled)
+select query_idx, cand, score, cast(row_number() over (partition by query_idx order by score desc, cand_pos) as integer) as rank from b""")
+def combined_rank(spark, sf_dir):
+    """The blend of two stored runs, a lexical and a learned one, joined pair by pair."""
+    s = adapters.vector_scores(spark, sf_dir)
+    both = pairs.combined_scores(s.drop("lex", "margin"), s.select("query_idx", "cand_pos", "src", "cand", "lex"), s.select("query_idx", "cand_pos", "src", "cand", "margin"))
+    return blend.apply(both, "prob", 0.3).select("query_idx", "cand", "score", "rank")
+
+
+@query(f"with {_VECTORS}, r as (select *, row_number() over (partition by query_idx order by margin desc, cand_pos) as rank from scores), g as (select query_idx, min(case when cand = gold then rank end) as gold_rank from r group by 1), h as (select gold_rank, count(*) as n from g group by 1) {_METRICS} from h")
+def dev_metrics(spark, sf_dir):
+    """M08."""
+    return rank.dev_metrics(adapters.vector_scores(spark, sf_dir))
+
+
+@query(f"with {_VECTORS}, r as (select *, row_number() over (partition by query_idx order by lex desc, cand_pos) as rank from scores), g as (select query_idx, min(case when cand = gold then rank end) as gold_rank from r group by 1), h as (select gold_rank, count(*) as n from g group by 1), m as ({_METRICS} from h) select *, true as validated from m")
+def evaluate_run(spark, sf_dir):
+    """Rankings validated against their pools, then measured."""
+    s = adapters.vector_scores(spark, sf_dir)
+    return rank.evaluate(rank.ranking(rank.ranked(s, "lex")), adapters.pools(s))
+
+
 # --- splits and negatives ---
 
 _DEV = """
@@ -287,10 +453,10 @@ def dev_split(spark, sf_dir):
     return sampling.dev_sources(adapters.pool_rows(spark, sf_dir))
 
 
-@query(f"with {_POOL}, {_DEV}, q as (select distinct query_idx, src from pool where src not in (select src from dev)) select query_idx, src from q order by md5('0|' || query_idx), query_idx limit 20")
+@query(f"with {_POOL}, {_DEV}, q as (select distinct query_idx, src from pool where src not in (select src from dev)) select query_idx, src from q order by md5('0|' || query_idx), query_idx limit 400")
 def fit_split(spark, sf_dir):
     queries = adapters.pool_rows(spark, sf_dir).select("query_idx", "src").distinct()
-    return sampling.fit_sample(queries, sampling.dev_sources(queries), 20)
+    return sampling.fit_sample(queries, sampling.dev_sources(queries))
 
 
 @query(f"with {_POOL}, {_DEV}, a as (select src from dev), b as (select distinct src from pool where query_idx % 2 = 0) select (select count(*) from (select * from a union select * from b)) as n_union, (select count(*) from (select * from a intersect select * from b)) as n_intersect, (select count(*) from (select * from a except select * from b)) as n_only_a, (select count(*) from (select * from b except select * from a)) as n_only_b, (select count(*) from ((select * from a except select * from b) union all (select * from b except select * from a))) as n_symmetric")
@@ -401,7 +567,7 @@ def fsn_split(spark, sf_dir):
 
 
 @query("""with u as (select page_id, regexp_replace(url, '[/#]+$', '') as u from pages), l as (select page_id, list_last(string_split_regex(u, '[#/]')) as l from u)
-select page_id, regexp_replace(replace(l, '_', ' '), '([a-z])([A-Z])', '\\1 \\2', 'g') as name from l""")
+select page_id, trim(regexp_replace(replace(l, '_', ' '), '([a-z])([A-Z])', '\\1 \\2', 'g')) as name from l""")
 def local_name(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.local_name(F.col("url")).alias("name"))
 
@@ -415,11 +581,11 @@ def first_definition(spark, sf_dir):
 
 
 @query("""with t as (select item_id, string_split(text, chr(10)) as ls from benchmark)
-select item_id, 'SOURCE' || chr(10) || ls[1] || chr(10) || chr(10) || 'TARGET' || chr(10) || array_to_string(list_slice(ls, 2, 1000), ' ') as state,
-       cast(len(regexp_extract_all('SOURCE' || chr(10) || ls[1] || chr(10) || chr(10) || 'TARGET' || chr(10) || array_to_string(list_slice(ls, 2, 1000), ' '), '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]')) as integer) as n_tokens from t""")
+select item_id, 'SOURCE' || chr(10) || ls[1] || chr(10) || chr(10) || 'TARGET' || chr(10) || array_to_string(list_slice(ls, 2, len(ls)), ' ') as state,
+       cast(len(regexp_extract_all('SOURCE' || chr(10) || ls[1] || chr(10) || chr(10) || 'TARGET' || chr(10) || array_to_string(list_slice(ls, 2, len(ls)), ' '), '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]')) as integer) as n_tokens from t""")
 def pair_state(spark, sf_dir):
     lines = F.split("text", "\n", -1)
-    state = budget.pair_state(F.concat(F.lit("SOURCE\n"), F.get(lines, F.lit(0))), F.concat(F.lit("TARGET\n"), F.array_join(F.slice(lines, 2, 1000), " ")))
+    state = budget.pair_state(F.concat(F.lit("SOURCE\n"), F.get(lines, F.lit(0))), F.concat(F.lit("TARGET\n"), F.array_join(F.slice(lines, 2, 1 << 30), " ")))
     return read(spark, sf_dir, "benchmark").select("item_id", state.alias("state"), budget.word_count(state).alias("n_tokens"))
 
 
@@ -433,7 +599,7 @@ def fit_list(spark, sf_dir):
 
 
 @query("""with t as (select doc_id, string_split(text, chr(10)) as ls from documents),
-n as (select doc_id, ls[1] as label, list_slice(ls, 2, 6) as syn from t),
+n as (select doc_id, ls[1] as label, list_slice(ls, 2, len(ls)) as syn from t),
 c as (select doc_id, label, syn, list_transform(range(0, len(syn) + 1), lambda k: array_to_string(list_concat([label], list_slice(syn, 1, k)), '; ')) as texts from n),
 f as (select doc_id, texts, list_transform(texts, lambda x: len(regexp_extract_all(x, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]')) > 40) as over from c)
 select doc_id, texts[coalesce(list_min(list_filter(range(1, len(texts)), lambda k: over[k + 1])), len(texts))] as option_text from f""")
@@ -506,7 +672,7 @@ select first_value(cell) over (partition by conv_id, run order by turn) as head,
 def list_walk(spark, sf_dir):
     cell = lambda shift: F.concat("conv_id", F.lit(":"), (F.col("turn") + shift).cast("string"))
     cells = read(spark, sf_dir, "conversations").select(cell(0).alias("cell"), F.col("text").alias("member"), cell(1).alias("rest"))
-    return validate.walk_lists(spark, cells)
+    return validate.walk_lists(cells)
 
 
 _SEEDS = "with s as (select doc_id % 50 as pair, doc_id % 5 as seed, count(*) as done, round_even(avg(quality), 6) as mrr from labels group by all)"
@@ -546,7 +712,6 @@ def type_counts(spark, sf_dir):
 
 @query("with s as (select role, list_sort(list(length(text))) as l from conversations group by role) select role, cast(l[cast(floor(0.5 * len(l)) as integer) + 1] as integer) as median, cast(l[least(cast(floor(0.95 * len(l)) as integer), len(l) - 1) + 1] as integer) as p95, cast(list_max(l) as integer) as most from s")
 def length_quantiles(spark, sf_dir):
-    """State lengths by nearest rank: lengths are first counted, so a group's distinct lengths are all that is gathered."""
-    sizes = read(spark, sf_dir, "conversations").select("role", F.length("text").alias("n")).groupBy("role", "n").agg(F.count(F.lit(1)).alias("c"))
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: F.array_repeat(x["n"], x["c"].cast("int"))))
-    return sizes.groupBy("role").agg(listed.alias("l")).select("role", nearest_rank(F.col("l"), 0.5).alias("median"), nearest_rank(F.col("l"), 0.95).alias("p95"), F.array_max("l").alias("most"))
+    """State lengths by nearest rank, from running sums over the counts of distinct lengths."""
+    sizes = read(spark, sf_dir, "conversations").select("role", F.length("text").alias("n"))
+    return rank_quantiles(sizes, "n", {"median": 0.5, "p95": 0.95}, "role").withColumnRenamed("max", "most")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import shutil
 import zipfile
 from pathlib import Path
 
@@ -10,9 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ontology_path(folder: str | None, name: str) -> str | None:
-    """The first sorted file of an ontology, None if there is none."""
-    found = sorted(Path(folder).glob(f"{name}-*.owl")) if folder else []
+def ontology_path(folder: str | None, name: str, named: str | None = None, private: str | None = None) -> str | None:
+    """The first sorted file of an ontology, None if there is none.
+
+    A licensed ontology is not in the common folder: it is the file ``named``
+    by the user (None if that doesn't exist), else the first in the folder
+    ``private`` whose name has the ontology's, whatever the case.
+    """
+    if named:
+        return named if Path(named).is_file() else None
+    if private:
+        found = sorted(p for p in Path(private).glob("*.owl") if name.lower() in p.name.lower())
+    else:
+        found = sorted(Path(folder).glob(f"{name}-*.owl")) if folder else []
     return str(found[0]) if found else None
 
 
@@ -61,3 +73,20 @@ def package(files: dict[str, str], out: str, missing: list[str]) -> dict:
     manifest = {"zip": target.name, "files": sorted(files), "missing_pairs": sorted(missing), "complete": not missing}
     dump_json(str(target.with_suffix(".manifest.json")), manifest)
     return manifest
+
+
+def submit(folder: str, rankings: dict[str, str], problems: dict[str, list[str]]) -> dict[str, str]:
+    """Checked rankings copied into a folder that is cleared first; returns the SHA-256 of each. A ranking with problems refuses all."""
+    bad = {name: found for name, found in problems.items() if found}
+    if bad or not rankings:
+        raise ValueError(f"nothing is submitted: {bad or 'no ranking'}")
+    target = Path(folder)
+    if target.exists():
+        shutil.rmtree(target)
+    target.mkdir(parents=True)
+    digests = {}
+    for name, path in sorted(rankings.items()):
+        content = Path(path).read_bytes()
+        (target / name).write_bytes(content)
+        digests[name] = hashlib.sha256(content).hexdigest()
+    return digests

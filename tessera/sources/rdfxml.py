@@ -40,22 +40,35 @@ class _File(InputPartition):
         self.path, self.number = path, number
 
 
-def _open(path: str):
-    if "://" not in path and not path.startswith("file:"):
-        return open(path, "rb")
-    import pyarrow.fs as pafs
+def _system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
-    system, inner = pafs.FileSystem.from_uri(path)
+
+def _open(path: str):
+    system, inner = _system(path)
     return system.open_input_stream(inner)
 
 
+def _files(path: str) -> list[str]:
+    """A file, or the files of a folder in order, without those that writers leave beside their data."""
+    from pyarrow import fs
+
+    system, inner = _system(path)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and f.base_name[0] not in "_.")
+    return [f"{path.rstrip('/')}/{name}" for name in names]
+
+
 class RdfXmlReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in (options.get("path") or "").split(",") if p]
         self.triples = str(options.get("triples", "false")).lower() == "true"
 
     def partitions(self):
-        return [_File(p, k) for k, p in enumerate(self.paths)]
+        return [_File(p, k) for k, p in enumerate(f for path in self.paths for f in _files(path))]
 
     def read(self, partition) -> Iterator[tuple]:
         counter = partition.number << 44

@@ -26,6 +26,14 @@ def complete_blocks(rows: DataFrame, block: int) -> DataFrame:
     return rows.agg(F.floor(F.count(F.lit(1)) / block).alias("complete"), (F.floor(F.count(F.lit(1)) / block) * block).alias("rows_kept"))
 
 
+def resumable(lines: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Of the lines ``(ord, value)`` of a score file: whole blocks, and rows to keep. Another header starts at 0; lines without all their cells don't count."""
+    header = F.max((F.col("ord") == 0) & (F.col("value") == "\t".join(columns)))
+    whole = F.count_if((F.col("ord") > 0) & (F.size(F.split("value", "\t", -1)) == len(columns)))
+    done = F.when(F.coalesce(header, F.lit(False)), F.floor(whole / block)).otherwise(0)
+    return lines.agg(done.alias("complete"), (done * block).alias("rows_kept"))
+
+
 def pending(pool: DataFrame, done: DataFrame | None, size: int = 32) -> DataFrame:
     """Queries of chunks that have not all their rows among ``done(query_idx, cand_pos)``."""
     placed = pool.withColumn("chunk_id", F.floor(F.col("query_idx") / size))

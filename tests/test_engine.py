@@ -101,7 +101,7 @@ def test_rdfxml_entities(spark, tmp_path):
     assert (share.entities, share.found_in_ontology_pct, share.deprecated_pct) == (3, 66.67, 33.33)
     walked = rdfxml.read_rdfxml(spark, str(path), triples=True)
     cells = walked.where("iri like '\\_:%'").groupBy(F.col("iri").alias("cell")).agg(F.max(F.when(F.col("prop").endswith("first"), F.col("obj"))).alias("member"), F.max(F.when(F.col("prop").endswith("rest"), F.col("obj"))).alias("rest"))
-    assert [(r.head, r["at"], r.member.removeprefix(DOID)) for r in validate.walk_lists(spark, cells).orderBy("at").collect()] == [("_:l1", 0, "3"), ("_:l1", 1, "4")]
+    assert [(r.head, r["at"], r.member.removeprefix(DOID)) for r in validate.walk_lists(cells).orderBy("at").collect()] == [("_:l1", 0, "3"), ("_:l1", 1, "4")]
     kept = entities.retained(axioms, spark.createDataFrame([(DOID + "2",)], "iri string"), [RDFS + "label"])
     assert kept.where("kind = 'annotation'").count() == 5
 
@@ -304,3 +304,114 @@ def test_every_part_is_a_query(spark):
     got = catalogue.QUERIES["lex_full_part"](spark, "/root/testdata/sf0.001").select("query_idx", "cand")
     assert parts < 500 and got.count() == parts * (parts - 1)  # one bucket
     assert got.select("query_idx").distinct().count() == parts
+
+
+def test_lists_of_any_length_rings_and_shared_tails(spark):
+    cells = [(f"a{k}", str(k), f"a{k + 1}" if k < 3000 else None) for k in range(3001)]
+    cells += [("r1", "x", "r2"), ("r2", "y", "r1"), ("s1", "p", "t"), ("s2", "q", "t"), ("t", "z", None), ("alone", "w", "gone"), ("n", None, None)]
+    got = {}
+    for r in validate.walk_lists(spark.createDataFrame(cells, "cell string, member string, rest string")).collect():
+        got.setdefault(r.head, []).append((r["at"], r.member))
+    assert sorted(got) == ["a0", "alone", "s1", "s2"]
+    assert sorted(got["a0"]) == [(k, str(k)) for k in range(3001)]
+    assert sorted(got["s1"]) == [(0, "p"), (1, "z")] and sorted(got["s2"]) == [(0, "q"), (1, "z")] and got["alone"] == [(0, "w")]
+    short = validate.walk_lists(spark.createDataFrame(cells[:50], "cell string, member string, rest string"), most=10)
+    assert sorted(r["at"] for r in short.where("head = 'a0'").collect()) == list(range(10))
+
+
+def test_bootstrap_draws_queries_with_replacement(spark):
+    rows = [(k, 2 + k % 5, 1 + k % 3) for k in range(60)] + [(100 + k, 1, 5) for k in range(9)] + [(200, None, 1)]
+    got = select.paired_bootstrap(spark.createDataFrame(rows, "query_idx long, lex_rank int, blend_rank int")).first()
+    gains = np.array([1 / b - (1 / a if a else 0) for _, a, b in rows if a != 1])
+    drawn = np.random.default_rng(5).choice(gains, (10_000, len(gains))).mean(1)
+    assert np.allclose([got.low, got.high], np.percentile(drawn, [2.5, 97.5]), atol=0.01)
+    none = select.paired_bootstrap(spark.createDataFrame([(1, 1, 1)], "query_idx long, lex_rank int, blend_rank int")).first()
+    assert none.low is None and none.high is None
+
+
+def test_seed_names_and_summary(spark):
+    assert select.seed_names("NCIT-DOID", 0)["checkpoint"] == "checkpoints/ncit-doid/learned-neg5-repD/best"
+    assert select.seed_names("NCIT-DOID", 2)["run"] == "learned-neg5-repD-seed2"
+    rows = [("p", 0, 4, 4, 0.5, 0.6), ("p", 1, 4, 4, 0.7, 0.8), ("p", 2, 1, 4, 0.9, 0.9)]
+    got = select.seed_summary(spark.createDataFrame(rows, "pair string, seed int, epochs_done int, epochs_planned int, alone double, blended double"), "alone", "blended").first()
+    assert got.seeds == 2 and json.loads(got.per_seed) == {"0": {"alone": 0.5, "blended": 0.6}, "1": {"alone": 0.7, "blended": 0.8}}
+
+
+def test_question_statistics_and_fastest(spark):
+    rows = [(10, 100, True), (20, 200, False), (30, 600, True)]
+    got = validate.question_statistics(spark.createDataFrame(rows, "head_tokens int, input_tokens int, collapsed boolean")).first()
+    assert tuple(got) == (20.0, 30, 300.0, 600, 2)
+    sweep = spark.createDataFrame([(8, 100.0, 0), (16, 300.0, 1), (32, 200.0, 0), (64, 200.0, 0)], "batch_size int, pairs_per_sec double, fallbacks int")
+    assert validate.fastest(sweep).first().batch_size == 32
+
+
+def test_pool_statistics(spark):
+    rows = [("a", 0, "s1", None, ["x", "y"]), ("a", 1, "s2", None, ["x"]), ("b", 2, "s1", None, ["z", "y"])]
+    pool = spark.createDataFrame(rows, "split string, query_idx long, src string, gold string, cands array<string>")
+    assert sorted(map(tuple, pairs.pool_sizes(pool).collect())) == [(1, 1), (2, 2)]
+    assert sorted(map(tuple, pairs.distinct_targets(pool, "split").collect())) == [("a", 2), ("b", 2)]
+    assert [tuple(r) for r in pairs.source_overlaps(pool).collect()] == [("a", "b", 1)]
+    assert [r.iri for r in pairs.ordered_entities(pool, False).collect()] == ["x", "y", "z"]
+    assert [r.query_idx for r in pairs.first_queries(pool, 2).collect()] == [0, 1]
+
+
+def test_line_numbers_of_several_files(spark, tmp_path):
+    for name, lines in (("a", 3), ("b", 2)):
+        (tmp_path / name).write_text("".join(f"{name}{k}\n" for k in range(lines)))
+    got = pools.with_line_numbers(spark.read.text(str(tmp_path)).select("value", "_metadata"))
+    assert [r.value for r in got.orderBy("ord").collect()] == ["a0", "a1", "a2", "b0", "b1"] and sorted(r.ord for r in got.collect()) == list(range(5))
+
+
+def test_resume_by_header_and_cells(spark):
+    lines = [(0, "q\tp\ts")] + [(k, f"{k}\t0\t1") for k in range(1, 10)] + [(10, "torn\t")]
+    count = lambda rows, columns: tuple(incremental.resumable(spark.createDataFrame(rows, "ord long, value string"), columns, 4).first())
+    assert count(lines, ["q", "p", "s"]) == (2, 8) and count(lines, ["q", "p", "other"]) == (0, 0) and count([], ["q"]) == (0, 0)
+
+
+def test_licensed_files_and_submission(tmp_path):
+    (tmp_path / "MySnoMed_x.owl").write_text("")
+    assert files.ontology_path(None, "SNOMED", private=str(tmp_path)) == str(tmp_path / "MySnoMed_x.owl")
+    assert files.ontology_path(None, "SNOMED", named=str(tmp_path / "none.owl"), private=str(tmp_path)) is None
+    folder, ranking = tmp_path / "sub", tmp_path / "r.tsv"
+    folder.mkdir()
+    (folder / "old.tsv").write_text("old")
+    ranking.write_text("x")
+    with pytest.raises(ValueError):
+        files.submit(str(folder), {"a.tsv": str(ranking)}, {"a.tsv": ["bad"]})
+    assert (folder / "old.tsv").exists()
+    assert list(files.submit(str(folder), {"a.tsv": str(ranking)}, {"a.tsv": []})) == ["a.tsv"]
+    assert sorted(p.name for p in folder.iterdir()) == ["a.tsv"]
+
+
+def test_raw_subset_keeps_lines_as_they_stand(spark, tmp_path):
+    path = tmp_path / "p.tsv"
+    path.write_text("SrcEntity\tTgtEntity\tTgtCandidates\na\tb\t\"['b',   'c']\"\nd\te\t['e']\n")
+    got = sampling.raw_subset(spark, str(path), spark.createDataFrame([(0,)], "query_idx long"))
+    assert [r.value for r in got.collect()] == path.read_text().split("\n")[:2]
+    cases = spark.createDataFrame([(1, 5), (0, 9), (0, 2)], "label int, state_tokens int")
+    assert tuple(sampling.case_counts(cases).first()) == (1, 2, 9)
+
+
+def test_verification_report(spark):
+    schema = "iri string, ord bigint, kind string, prop string, value string, lang string, obj string"
+    rows = [("a", 1, "declaration", None, "Class", None, None), ("b", 1, "declaration", None, "Class", None, None), ("a", 2, "annotation", "p", "x", "en", None), ("a", 3, "annotation", "p", "x", "en", None), ("a", 4, "parent", None, None, None, "b")]
+    task = spark.createDataFrame([("a",), ("b",), ("c",)], "iri string")
+    one = spark.createDataFrame(rows, schema)
+    same = validate.verification_report(one, one, task.where("iri <> 'c'")).first()
+    assert same.all_checks_pass and same.task_entities == 2 and same.without_parent == ["b"]
+    other = spark.createDataFrame([*rows[:1], rows[2], ("a", 9, "parent", None, None, None, "z"), ("b", 1, "declaration", None, "ObjectProperty", None, None)], schema)
+    got = validate.verification_report(one, other, task).first()
+    assert not got.all_checks_pass and (got.n_not_declared_a, got.n_not_declared_b, got.not_declared_a) == (1, 1, ["c"])
+    assert (got.annotation_mismatches, got.parent_mismatches, got.type_mismatches) == (["a"], ["a"], ["b"])
+    notes = spark.createDataFrame([("a", 1, "annotation", "p", " x \n y ", "en-GB", None), ("a", 2, "annotation", "p", "z", "fr", None), ("a", 3, "annotation", "p", " ", None, None)], schema)
+    assert [r.value for r in validate.english_literals(notes).collect()] == ["x y"]
+
+
+def test_evaluation_of_a_run(spark):
+    pool = spark.createDataFrame([(0, "s", "b", ["a", "b"]), (1, "t", "z", ["a", "b"])], "query_idx long, src string, gold string, cands array<string>")
+    ranked = spark.createDataFrame([(0, "s", ["b", "a"]), (1, "t", ["b", "a"])], "query_idx long, src string, ranked array<string>")
+    got = rank.evaluate(ranked, pool).first()
+    assert (got.mrr, got.hits_at_1, got.queries, got.validated) == (0.5, 0.5, 2, True)
+    assert tuple(rank.evaluate(ranked, pool, measured=False).first()) == (2, True)
+    with pytest.raises(Exception):  # noqa: B017
+        rank.evaluate(ranked.where("query_idx = 0"), pool).collect()

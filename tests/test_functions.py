@@ -122,3 +122,14 @@ def test_budgets(spark):
     assert budget.concept_budget(512, 60) == 221
     row = spark.range(1).select(budget.option_text(F.lit("a"), F.array(F.lit("b c"), F.lit("d")), 4), budget.question_budget(F.array(F.lit("a b"), F.lit("c")), 10)).first()
     assert row[0] == "a; b c" and row[1] == 2 + 1 + 1 + 1 + 10 + 32
+
+
+def test_local_name_is_trimmed(spark):
+    assert column(spark, ["http://x/_Foo_", "http://x/a%20/", "http://x/o#_leftHeart"], text.local_name) == ["Foo", "a", "left Heart"]
+
+
+def test_rank_quantiles_equal_sorted_lists(spark):
+    rows = [("a", k % 7) for k in range(50)] + [("b", 3)] + [("c", None)]
+    got = {r.g: (r.m, r.p, r["max"]) for r in scores.rank_quantiles(spark.createDataFrame(rows, "g string, v int"), "v", {"m": 0.5, "p": 0.95}, "g").collect()}
+    listed = sorted(v for g, v in rows if g == "a")
+    assert got == {"a": (listed[25], listed[47], 6), "b": (3, 3, 3)}
