@@ -22,6 +22,8 @@ from tessera.llm._store import materialise, release
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
+#: Salts that spread the rows of one hash.
+SPREAD = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NIBBLES, _LETTERS = "0123456789ABCDEF", "abcdefghijklmnop"
 
@@ -63,7 +65,10 @@ def lost_lines(docs: DataFrame, unit: str, text: str, min_length: int = MIN_LENG
     over = over.where(F.col("held_by") >= min_documents).drop("held_by")
     again = (F.col("_unit") == F.col("_keep")) & (F.col("position") > F.col("_first"))
     gone = (F.col("_unit") != F.col("_keep")) | (again if repeats else F.lit(False))
-    lost = lines.join(over, ["h1", "h2"]).where(gone).groupBy("_unit", "_t").agg(F.array_sort(F.collect_set("position")).alias("_lost"))
+    # rows of one hash meet what is known of it in several tasks
+    salt = F.pmod(F.xxhash64("_unit"), F.lit(SPREAD))
+    over = over.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
+    lost = lines.withColumn("_salt", salt).join(over, ["h1", "h2", "_salt"]).where(gone).groupBy("_unit", "_t").agg(F.array_sort(F.collect_set("position")).alias("_lost"))
     found = materialise(spark, lost, "lost")
     release(lines)
     return found

@@ -241,6 +241,47 @@ def test_pieces_equal_the_library_and_decode(machines, text):
     assert own.decode(ids) == text
 
 
+def test_pieces_equal_the_library_on_documents(machines):
+    import pyarrow.parquet as pq
+
+    own, library = machines
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    ids, counts, same = own.encode_column(column)
+    want = library.encode([t or "" for t in column.to_pylist()])
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [k for w in want for k in w] and same.all()
+
+
+def test_long_units_and_short_ones_take_one_path(machines):
+    own, library = machines
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(" abcdeinrst", weights=[w] + [1] * 10, k=rng.randrange(1, 400))) for w in (0, 1, 8) for _ in range(40)]
+    units = [t for t in texts if len(t) <= pieces.TOGETHER]
+    ids, sizes = own.compose_many(units)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [own.compose(u) for u in units]
+    got = own.encode_column(pa.array([*texts, None, ""]))
+    assert np.split(got[0], np.cumsum(got[1])[:-1])[0].tolist() == library.encode(texts[0]) and got[1].tolist() == [len(library.encode(t)) for t in [*texts, "", ""]]
+
+
+def test_pieces_need_the_neighbour_acceptor(machines, monkeypatch):
+    own = pieces.PieceTransducer(VOCABULARY)
+    text = "This is a sentence whose pieces by weight alone are others"
+    right = own.encode(text)
+    assert right == machines[1].encode(text)
+    free = pieces.PieceTransducer(VOCABULARY)
+    monkeypatch.setattr(free, "accepts", lambda left, k: True)
+    assert free.encode(text) != right and free.decode(free.encode(text)) == text
+
+
+def test_neighbour_acceptor_is_merging_by_rank(machines):
+    own, library = machines
+    rng = random.Random(7)
+    listed = [p for p in own.ids if pieces.MARK not in p]
+    for _ in range(400):
+        x, y = rng.choice(listed), rng.choice(listed)
+        alone = [library.id_to_piece(k) for k in library.encode(f"\n{x}{y}")][2:]
+        assert own.accepts(own.ids[x], own.ids[y]) == (alone == [x, y]), (x, y)
+
+
 def test_pieces_of_the_mark_itself(machines):
     assert machines[0].decode(machines[0].encode("a ▁b ▁")) == "a ▁b ▁"
 
@@ -249,8 +290,8 @@ def test_unigram_mode_takes_the_cheapest_path(machines):
     own = pieces.PieceTransducer(VOCABULARY)
     own.kind = pieces.UNIGRAM
     own.ids, own.cost = {"a": 0, "b": 1, "ab": 2, "abc": 3, "c": 4}, [1.0, 1.0, 1.5, 4.0, 1.0]
-    own.ends = {"a", "ab", "abc", "b", "c"}
-    assert own.shortest_path("abc") == [2, 4]
+    own.prepare()
+    assert own.shortest_path("abc") == [2, 4] and own.compose_many(["abc", "ab"])[0].tolist() == [2, 4, 2]
 
 
 @given(st.lists(st.text(alphabet="abc*+./é", min_size=0, max_size=6), min_size=1, max_size=30), st.lists(st.text(alphabet="abc./é", max_size=10), min_size=1, max_size=8))

@@ -330,6 +330,33 @@ def test_decontamination_finds_every_verbatim_item(spark):
     assert want and want <= got
 
 
+def test_decontamination_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rng = random.Random(3)
+    edited = []  # and passages with up to the allowed edits, planted in documents
+    for k in range(120):
+        ws = bench[k % len(bench)][1].split()
+        for _ in range(rng.randrange(0, int(0.2 * len(ws)) + 1)):
+            at = rng.randrange(len(ws))
+            ws[at : at + 1] = rng.choice([["changed"], [], [ws[at], "more"]])
+        host = (docs[k % len(docs)].text or "").split()
+        at = rng.randrange(len(host) + 1)
+        edited.append((10_000 + k, " ".join([*host[:at], *ws, *host[at:]])))
+    rows = [(r.doc_id, r.text) for r in docs] + edited
+    items = decontam.Items([i for i, _ in bench], [t for _, t in bench])
+    want = {}
+    for i, t in rows:
+        h = decontam.words(decontam.plain(pa.array([t or ""])), decontam.ALNUM)[0]
+        for k, sequence in enumerate(items.sequences):
+            if np.isin(sequence, h).sum() >= len(sequence) - items.bounds[k] and (d := decontam.edit_distance(sequence, h)) <= items.bounds[k]:
+                want[i, int(items.ids[k])] = d
+    found = decontam.find_items(spark, frame(spark, rows, "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+    got = {(r.doc_id, i): d for r in found for i, d in zip(r.item_ids, r.edits, strict=True)}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) > 100
+    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+
+
 def test_pieces_operator(spark):
     docs = frame(spark, [(1, "Hello  world\né", "x"), (2, None, "x"), (3, "", "x"), (1, "Hello  world\né", "x")], "doc_id long, text string, ids string")
     coded = pieces.encode(docs)
