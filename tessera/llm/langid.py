@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._words import U64, SortedHash, slices, text_array
+from tessera.llm._worker import task
 
 ORDER = 4
 PAD = ORDER - 1
@@ -32,6 +33,10 @@ BLANK = 32
 #: Characters that an unseen one competes with.
 ALPHABET = 4096
 SLICE_BYTES = 1 << 20
+#: Bytes of the texts that one language learns from, and of the longest of them.
+SAMPLE_BYTES, SAMPLE_TEXT = 16 << 20, 1 << 20
+#: Bytes of a model that may be shipped to executors.
+MODEL_BYTES = 512 << 20
 
 
 def _letters() -> np.ndarray:
@@ -190,6 +195,11 @@ class LanguageModel:
         out._calibrate(hold)
         return out
 
+    @property
+    def nbytes(self) -> int:
+        tables = [*self.grams.values(), *self.contexts.values()]
+        return sum(t.hashes.nbytes + t.order.nbytes + t.start.nbytes for t in tables) + sum(v.nbytes for d in (self.values, self.weights) for v in d.values())
+
     def _calibrate(self, hold: list[tuple[str, str]]) -> None:
         self.reject_above = np.full(len(self.languages), np.inf)
         if not hold:
@@ -259,16 +269,18 @@ class LanguageModel:
         return names, np.where(none, 0.0, score), np.where(none, 0.0, least), np.where(none, False, least > self.reject_above[best])
 
 
-def sample(docs: DataFrame, text: str, label: str, unit: str, per_language: int) -> tuple[list[str], list[str]]:
-    """About ``per_language`` whole labelled texts of each language, at most twice as many, chosen by a hash of ``unit``.
+def sample(docs: DataFrame, text: str, label: str, unit: str, per_language: int, most_bytes: int = SAMPLE_BYTES, longest: int = SAMPLE_TEXT) -> tuple[list[str], list[str]]:
+    """About ``per_language`` whole labelled texts and ``most_bytes`` of text of each language, at most twice as many, chosen by a hash of ``unit``.
 
-    The choice is a threshold on the hash, not a sort, so no group of rows meets in one task.
+    The choice is a threshold on the hash, not a sort, so no group of rows
+    meets in one task. Texts of more than ``longest`` bytes teach nothing (they
+    are predicted like any other), so the bytes gathered are bounded too.
     """
-    known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.octet_length(text) <= longest))
+    sizes = {r[0]: (r[1], r[2]) for r in known.groupBy(label).agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).collect()}
     if not sizes:
         return [], []
-    share = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in sizes.items()])
+    share = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(1.0, per_language / n, most_bytes / max(1, size)))) for k, (n, size) in sizes.items()])
     place = F.pmod(F.xxhash64(F.col(unit).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.where(place < share).select(F.col(text), F.col(label)).limit(2 * per_language * len(sizes)).collect()
     chosen = sorted((tuple(r) for r in chosen), key=lambda r: (r[1], r[0]))
@@ -279,9 +291,14 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: s
     """``docs`` without ``text`` but with lang_pred, score, bits and rejected.
 
     A null text, an empty one or one without a letter is ``und`` with score 0.
-    Columns of the input with those names are replaced. Rows are independent:
-    repeated rows give repeated results, an empty table an empty result.
+    Columns of the input with those names are replaced, other names don't
+    matter. Rows are independent: repeated rows give repeated results, an
+    empty table an empty result. Of equally likely languages the first in
+    alphabetical order is taken. A very long text is taken whole, in memory of
+    some times its size. A model over ``MODEL_BYTES`` is not shipped.
     """
+    if model.nbytes > MODEL_BYTES:
+        raise MemoryError(f"a model of {model.nbytes} bytes is over the bound of what is shipped")
     shipped = spark.sparkContext.broadcast(model)
     carried = [c for c in docs.columns if c not in {text, "lang_pred", "score", "bits", "rejected"}]
     schema = docs.select(*carried).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits": F.lit(0.0), "rejected": F.lit(False)}).schema
@@ -297,4 +314,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: s
                     names=[*carried, "lang_pred", "score", "bits", "rejected"],
                 )
 
-    return docs.select(*carried, text).mapInArrow(run, schema)
+    return docs.select(*carried, text).mapInArrow(task("langid", run), schema)

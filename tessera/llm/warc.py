@@ -26,13 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._store import materialise, scratch_path
+from tessera.llm._worker import task
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Packed bytes that one task reads back, about; so many tasks at most.
+READ_BYTES, READ_TASKS = 4 << 20, 20_000
 LEVEL = 3
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 MIN_DEDUP_BYTES = 0
+_DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -101,32 +105,41 @@ class SeekableReader:
         return self.last[1]
 
 
-def warc_record(kind: str, record_id: str, uri: str, digest: str, payload: bytes, refers_to: str | None) -> bytes:
-    """One WARC/1.1 record; a revisit has an empty block and names the payload it repeats."""
-    block = b"" if kind == "revisit" else payload
+def warc_record(kind: str, page_id: int | None, uri: str, digest: str, payload: bytes, refers_to: int | None = None, refers_uri: str | None = None) -> bytes:
+    """One WARC/1.1 record under an id of its own.
+
+    A response holds the HTTP message of the page; a revisit has an empty
+    block and names the payload it repeats. The page ids stand in headers of
+    their own, so repeated or missing ones make no record ids collide.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = b"" if kind == "revisit" else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{record_id}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {' '.join(uri.split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
         f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To-Target-URI: {' '.join((refers_uri or '').split())}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(frame: bytes, at: int) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of the record at an offset."""
     end = frame.index(b"\r\n\r\n", at)
     lines = frame[at:end].decode("utf-8", "surrogatepass").split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("no record at this offset")
     head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-    return head, frame[end + 4 : end + 4 + int(head["content-length"])]
+    block = frame[end + 4 : end + 4 + int(head["content-length"])]
+    return head, block[block.index(b"\r\n\r\n") + 4 :] if block else block
 
 
 _INDEX = T.StructType(
@@ -152,15 +165,17 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, unit: str
     smallest id is the response and the others revisit it; rows of that same
     id are all responses. A null page is an empty payload, a null url an empty
     one. Rows of null id are responses, except where an id has their payload.
-    An empty table writes no bundle. Other columns are ignored.
+    An empty table writes no bundle; a very long page is a record, and a frame,
+    of its own. Other columns, whatever their names, are ignored.
     """
     base = pages.select(F.col(unit).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
     digest = F.sha1(F.encode("html", "utf-8"))
     large = F.octet_length("html") >= min_dedup_bytes
-    groups = base.where(large).select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    groups = base.where(large).select(digest.alias("digest"), "page_id", F.substring("url", 1, 2048).alias("url")).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    groups = groups.where("n > 1 and least is not null").select("digest", F.col("least").alias("first"), F.col("first.url").alias("first_url"))
     typed = base.withColumn("digest", digest).join(groups, "digest", "left")
     again = F.col("first").isNotNull() & F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)) & large
-    typed = typed.select("page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"))
+    typed = typed.select("page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pafs.FileSystem.from_uri(folder)
@@ -186,7 +201,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, unit: str
                 key, refers = batch.column("page_id")[k].as_py(), batch.column("refers_to")[k].as_py()
                 payload = batch.column("html")[k].as_buffer().to_pybytes()
                 coded = base64.b32encode(bytes.fromhex(batch.column("digest")[k].as_py())).decode()
-                record = warc_record("response" if refers is None else "revisit", str(key), batch.column("url")[k].as_py(), coded, payload, None if refers is None else str(refers))
+                record = warc_record("response" if refers is None else "revisit", key, batch.column("url")[k].as_py(), coded, payload, refers, batch.column("refers_url")[k].as_py())
                 rows.append((key, *writer.add(record)))
                 if writer.written >= BUNDLE_BYTES:
                     yield finish()
@@ -194,7 +209,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, unit: str
         if writer is not None:
             yield finish()
 
-    return materialise(spark, typed.mapInArrow(run, _INDEX), "index")
+    return materialise(spark, typed.mapInArrow(task("warc", run), _INDEX), "index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -223,10 +238,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                 if kind == "response" and base32_sha1(block) != digest:
                     raise ValueError(f"payload of {head['warc-record-id']} has another digest")
-                key = head["warc-record-id"][len("<urn:page:") : -1]
-                refers = head["warc-refers-to"][len("<urn:page:") : -1] if kind == "revisit" else None
+                key, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
                 size = len(block) if kind == "response" else int(head["x-payload-length"])
-                for column, value in zip(out, (None if key == "None" else int(key), size, digest, kind, None if refers is None else int(refers), head["warc-target-uri"], block), strict=True):
+                for column, value in zip(out, (None if key is None else int(key), size, digest, kind, None if refers is None else int(refers), head["warc-target-uri"], block), strict=True):
                     column.append(value)
                 held += len(block)
                 if held >= 4 << 20:
@@ -237,7 +251,10 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         if stream is not None:
             stream.close()
 
-    return index.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, _RECORD)
+    packed = index.select("bundle", "bundle_bytes").distinct().agg(F.sum("bundle_bytes")).first()[0] or 0
+    tasks = max(1, min(READ_TASKS, -(-packed // READ_BYTES)))
+    near = index.withColumn("_stretch", F.floor(F.col("frame") / 4)).repartition(tasks, "bundle", "_stretch").drop("_stretch")
+    return near.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(task("warc", run), _RECORD)
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:

@@ -339,9 +339,13 @@ def test_seekable_bundles():
 
 def test_warc_records_parse():
     payload = "é\r\n\r\nx".encode()
-    r = warc.warc_record("response", "7", "http://a b/\n", warc.base32_sha1(payload), payload, None)
-    head, block = warc.parse_record(b"zz" + r, 2)
-    assert block == payload and head["warc-target-uri"] == "http://a b/"
+    r = warc.warc_record("response", 7, "http://a b/\n", warc.base32_sha1(payload), payload)
+    head, found = warc.parse_record(b"zz" + r, 2)
+    assert found == payload and head["warc-target-uri"] == "http://a b/" and head["x-page-id"] == "7"
+    assert b"application/http;msgtype=response" in r and b"HTTP/1.1 200 OK" in r and int(head["content-length"]) > len(payload)
+    again = warc.warc_record("revisit", None, "u", "D", payload, 7, "http://a b/")
+    head_2, found = warc.parse_record(again, 0)
+    assert found == b"" and head_2["x-refers-to-page-id"] == "7" and "x-page-id" not in head_2 and head_2["warc-record-id"] != head["warc-record-id"]
 
 
 def _counts(*texts):
@@ -395,6 +399,49 @@ def test_language_model_probabilities_sum_to_one_or_less():
     assert langid._probability(counts, 3, context | alphabet).sum() <= 1 + 1e-9
 
 
+def test_language_model_equals_a_plain_one():
+    import math
+    from collections import Counter
+
+    def chars(text):
+        out = []
+        for c in text:
+            c = c.lower() if c.isalpha() else " "
+            if c != " " or (out and out[-1] != " "):
+                out.append(c)
+        return "   " + "".join(out)
+
+    rng = random.Random(8)
+    texts = {"aa": [" ".join(rng.choices(["bana", "nab", "aba", "an"], k=9)) for _ in range(9)], "bb": [" ".join(rng.choices(["bobo", "obob", "nob"], k=9)) for _ in range(9)]}
+    model = langid.LanguageModel.train([t for x in texts.values() for t in x], [k for k, x in texts.items() for _ in x])
+
+    def plain(label):
+        grams = Counter(c[k - 3 : k + 1] for c in map(chars, texts[label]) for k in range(3, len(c)))
+        tables = {4: grams}
+        for n in (3, 2, 1):
+            tables[n] = Counter(g[1:] for g in tables[n + 1])  # distinct left neighbours
+
+        def p(gram):
+            if not gram:
+                return 1 / langid.ALPHABET
+            table = tables[len(gram)]
+            ones, twos = (sum(v == n for v in table.values()) for n in (1, 2))
+            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+            same = {g: v for g, v in table.items() if g[:-1] == gram[:-1]}
+            if not same:
+                return p(gram[1:])
+            total = sum(same.values())
+            return max(table.get(gram, 0) - d, 0) / total + d * len(same) / total * p(gram[1:])
+
+        return lambda text: -sum(math.log2(p(c[k - 3 : k + 1])) for c in [chars(text)] for k in range(3, len(c))) / (len(chars(text)) - 3)
+
+    asked = ["banana nab", "Bob, nobody!", "xyz", "o", "ab an  ob"]
+    bits, _ = model.entropies(pa.array(asked))
+    for k, label in enumerate(model.languages):
+        one = plain(label)
+        assert np.allclose(bits[:, k], [one(t) for t in asked], atol=1e-4)
+
+
 def test_untrained_model_says_und():
     assert langid.LanguageModel.train([], []).predict(pa.array(["abc"]))[0] == ["und"]
 
