@@ -21,12 +21,13 @@ ScorePairs = Callable[[Sequence[str], Sequence[str]], np.ndarray]  # -> n x 2 lo
 Scorer = Callable[[], ScorePairs]
 
 
-def score_pairs(states: DataFrame, scorer: Scorer, batch: int = 16, temperature: float = 1.0, most_tokens: int = 512) -> DataFrame:
-    """Prob, margin, choice and truncated of every pair of ``states(query_idx, src, cand, cand_pos, source_text, target_text, n_tokens)``.
+def score_pairs(states: DataFrame, scorer: Scorer, batch: int = 16, temperature: float = 1.0, most_tokens: int = 512, raw: bool = False) -> DataFrame:
+    """Prob, margin, choice and truncated of every pair of ``states(query_idx, src, cand, cand_pos, source_text, target_text, n_tokens)``.
 
     Rows are sorted by length inside their partition, so batches are even.
+    With ``raw`` the scorer's two logits come along as they are (M02).
     """
-    schema = "query_idx bigint, src string, cand string, cand_pos int, prob double, margin double, choice int, truncated int"
+    schema = "query_idx bigint, src string, cand string, cand_pos int, prob double, margin double, choice int, truncated int" + (", z0 double, z1 double" if raw else "")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
@@ -36,7 +37,8 @@ def score_pairs(states: DataFrame, scorer: Scorer, batch: int = 16, temperature:
                 logits = np.asarray(score(rows["source_text"].tolist(), rows["target_text"].tolist()), float)
                 margin = logits[:, 0] - logits[:, 1]
                 prob = 1 / (1 + np.exp(-np.clip(margin / temperature, -700, 700)))
-                yield pd.DataFrame({"query_idx": rows["query_idx"], "src": rows["src"], "cand": rows["cand"], "cand_pos": rows["cand_pos"], "prob": prob, "margin": margin, "choice": (margin < 0).astype("int32"), "truncated": (rows["n_tokens"] > most_tokens).astype("int32")})
+                found = pd.DataFrame({"query_idx": rows["query_idx"], "src": rows["src"], "cand": rows["cand"], "cand_pos": rows["cand_pos"], "prob": prob, "margin": margin, "choice": (margin < 0).astype("int32"), "truncated": (rows["n_tokens"] > most_tokens).astype("int32")})
+                yield found.assign(z0=logits[:, 0], z1=logits[:, 1]) if raw else found
 
     return states.sortWithinPartitions("n_tokens").mapInPandas(run, schema)
 
@@ -104,7 +106,14 @@ def batch_sweep(spark: SparkSession, states: DataFrame, scorer: Scorer, sizes: S
     for size in sizes:
         began = time.time()
         found = score_pairs(states, scorer, size).cache()
-        n = found.count()
-        first = found if first is None else first
-        out.append({"batch_size": size, "pairs_per_sec": n / max(1e-9, time.time() - began), "max_margin_drift_vs_first": margin_drift(first, found).first()[0]})
+        try:
+            n = found.count()
+            took = max(1e-9, time.time() - began)
+            first = found if first is None else first
+            out.append({"batch_size": size, "pairs_per_sec": n / took, "max_margin_drift_vs_first": margin_drift(first, found).first()[0]})
+        finally:
+            if found is not first:
+                found.unpersist()
+    if first is not None:
+        first.unpersist()
     return out

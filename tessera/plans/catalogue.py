@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import budget, similarity, text
 from tessera.functions.scores import minmax, rank_quantiles, sigmoid
-from tessera.operators import blend, entities, pairs, rank, sampling, select, validate
+from tessera.operators import blend, entities, lexical, pairs, rank, sampling, select, validate
 from tessera.plans import adapters
 from tessera.plans.adapters import read
 from tessera.schema import OWL, RDFS, SKOS, roles
@@ -121,12 +121,7 @@ def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.pool_rows(spark, sf_dir)
     source = adapters.text_entities(read(spark, sf_dir, "benchmark"), "item_id", "i").select("iri", "names", "sets")
     target = adapters.text_entities(read(spark, sf_dir, "documents"), "doc_id", "d").select("iri", "names", "sets")
-    both = pairs.with_entities(rows, source, target)
-    a, b = F.col("source.names"), F.col("target.names")
-    return both.select(
-        "query_idx", "src", "gold", "cand", "cand_pos",
-        similarity.label_equal(a, b).alias("e_label"), similarity.name_equal(a, b).alias("e_name"), similarity.best_jaccard(F.col("source.sets"), F.col("target.sets")).alias("j"),
-    )
+    return lexical.pool_features(rows, source, target)
 
 
 def _lex_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +190,8 @@ def resumed_scores(spark, sf_dir):
     path = scratch_path(spark, "resumed")
     s = adapters.vector_scores(spark, sf_dir)
     pool = adapters.pools(s)
-    lexical = s.select("query_idx", "cand_pos", "cand", "lex")
-    score = lambda todo: pairs.explode_pool(todo).select("query_idx", "cand_pos").join(lexical, ["query_idx", "cand_pos"])
+    stored = s.select("query_idx", "cand_pos", "cand", "lex")
+    score = lambda todo: pairs.explode_pool(todo).select("query_idx", "cand_pos").join(stored, ["query_idx", "cand_pos"])
     incremental.score_resumably(spark, pairs.first_queries(pool, 200), score, path)
     return incremental.score_resumably(spark, pool, score, path).select("query_idx", "cand_pos", "cand", "lex")
 

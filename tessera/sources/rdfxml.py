@@ -12,7 +12,8 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.schema import AXIOMS, OWL, RDF, RDFS
@@ -144,3 +145,32 @@ def register(spark: SparkSession) -> None:
 def read_rdfxml(spark: SparkSession, path: str, triples: bool = False):
     register(spark)
     return spark.read.format("rdfxml").option("triples", str(triples).lower()).load(path)
+
+
+def axioms_of_triples(triples: DataFrame, of_subclass: bool = True) -> DataFrame:
+    """Long-form axioms from single triples, with blank nodes joined up.
+
+    Named classes are declared; their literals are annotations; their parents
+    are the named objects of subclass statements and the named members of the
+    intersections that stand in equivalences (and, ``of_subclass``, in
+    subclass statements), read along their lists.
+    """
+    from tessera.operators.validate import walk_lists
+
+    t = triples.select(F.col("iri").alias("s"), "ord", F.col("prop").alias("p"), "value", "lang", F.col("obj").alias("o"))
+    blank = lambda c: F.col(c).startswith("_:")
+    named = t.where((F.col("p") == RDF + "type") & (F.col("o") == OWL + "Class") & ~blank("s")).select("s").distinct()
+    own = t.join(named, "s", "left_semi")
+    cells = t.where(F.col("p").isin(RDF + "first", RDF + "rest")).groupBy(F.col("s").alias("cell")).agg(
+        F.max(F.when(F.col("p") == RDF + "first", F.col("o"))).alias("member"), F.max(F.when((F.col("p") == RDF + "rest") & blank("o"), F.col("o"))).alias("rest")
+    )
+    members = walk_lists(cells).where(~blank("member")).select(F.col("head").alias("o"), "member")
+    inside = t.where(F.col("p") == OWL + "intersectionOf").select(F.col("s").alias("node"), "o").join(members, "o").select("node", "member")
+    above = own.where(F.col("p") == RDFS + "subClassOf")
+    through = own.where((F.col("p") == OWL + "equivalentClass") | (F.lit(of_subclass) & (F.col("p") == RDFS + "subClassOf"))).where(blank("o"))
+    parents = above.where(~blank("o")).select("s", "ord", "o").unionByName(through.select("s", "ord", F.col("o").alias("node")).join(inside, "node").select("s", "ord", F.col("member").alias("o")))
+    null = F.lit(None).cast("string")
+    stated = F.when(F.col("p") == OWL + "deprecated", "deprecated").otherwise("annotation")
+    rows = own.where("value is not null").select(F.col("s").alias("iri"), "ord", stated.alias("kind"), F.col("p").alias("prop"), "value", F.coalesce("lang", F.lit("")).alias("lang"), null.alias("obj"))
+    rows = rows.unionByName(named.select(F.col("s").alias("iri"), F.lit(0).cast("long").alias("ord"), F.lit("declaration").alias("kind"), null.alias("prop"), F.lit("Class").alias("value"), null.alias("lang"), null.alias("obj")))
+    return rows.unionByName(parents.select(F.col("s").alias("iri"), "ord", F.lit("parent").alias("kind"), null.alias("prop"), null.alias("value"), null.alias("lang"), F.col("o").alias("obj")))

@@ -415,3 +415,38 @@ def test_evaluation_of_a_run(spark):
     assert tuple(rank.evaluate(ranked, pool, measured=False).first()) == (2, True)
     with pytest.raises(Exception):  # noqa: B017
         rank.evaluate(ranked.where("query_idx = 0"), pool).collect()
+
+
+def test_axioms_of_triples_join_blank_nodes(spark, tmp_path):
+    xml = f"""<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="{RDFS}" xmlns:owl="{OWL}">
+<owl:Class rdf:about="{ID}1"><rdfs:label xml:lang="en">One</rdfs:label><rdfs:subClassOf rdf:resource="{ID}2"/><rdfs:subClassOf rdf:nodeID="x"/><owl:equivalentClass rdf:nodeID="y"/><owl:deprecated>true</owl:deprecated></owl:Class>
+<owl:Class rdf:about="{ID}2"/>
+<owl:Class rdf:nodeID="x"><owl:intersectionOf rdf:nodeID="x1"/></owl:Class>
+<rdf:Description rdf:nodeID="x1"><rdf:first rdf:resource="{ID}3"/><rdf:rest rdf:nodeID="x2"/></rdf:Description>
+<rdf:Description rdf:nodeID="x2"><rdf:first rdf:nodeID="r"/><rdf:rest rdf:resource="http://www.w3.org/1999/02/22-rdf-syntax-ns#nil"/></rdf:Description>
+<owl:Class rdf:nodeID="y"><owl:intersectionOf rdf:nodeID="y1"/></owl:Class>
+<rdf:Description rdf:nodeID="y1"><rdf:first rdf:resource="{ID}4"/></rdf:Description>
+</rdf:RDF>"""
+    path = tmp_path / "t.owl"
+    path.write_text(xml, encoding="utf-8")
+    triples = rdfxml.read_rdfxml(spark, str(path), triples=True)
+    rows = rdfxml.axioms_of_triples(triples).collect()
+    by = lambda kind, rows=rows: sorted((r.iri.removeprefix(ID), r.value if kind != "parent" else r.obj.removeprefix(ID)) for r in rows if r.kind == kind)
+    assert by("parent") == [("1", "2"), ("1", "3"), ("1", "4")] and by("declaration") == [("1", "Class"), ("2", "Class")]
+    assert by("annotation") == [("1", "One")] and by("deprecated") == [("1", "true")]
+    strict = rdfxml.axioms_of_triples(triples, of_subclass=False).collect()
+    assert by("parent", strict) == [("1", "2"), ("1", "4")]
+
+
+def test_pool_features_and_raw_logits(spark):
+    from tessera.operators import lexical
+
+    pool = spark.createDataFrame([(0, "s", None, "t", 0)], "query_idx long, src string, gold string, cand string, cand_pos int")
+    made = lambda iri, names: spark.createDataFrame([(iri, names, [sorted(set(n.split())) for n in names])], "iri string, names array<string>, sets array<array<string>>")
+    got = lexical.pool_features(pool, made("s", ["heart valve", "cardiac valve"]), made("t", ["valve of heart", "cardiac valve structure"]), characters=True).first()
+    assert (got.e_label, got.e_name, round(got.j, 6), round(got.r, 6), round(got.lex_score, 6)) == (0, 0, 0.666667, 0.722222, 0.347222)
+    states = spark.createDataFrame([(0, "s", "t", 0, "a b", "a c", 5)], "query_idx long, src string, cand string, cand_pos int, source_text string, target_text string, n_tokens int")
+    row = scorers.score_pairs(states, scorers.token_overlap_scorer, raw=True).first()
+    assert row.margin == row.z0 - row.z1
+    assert [r["batch_size"] for r in scorers.batch_sweep(spark, states, scorers.token_overlap_scorer, (1, 2))] == [1, 2]
