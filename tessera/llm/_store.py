@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROW_GROUP = 16 << 20
 _LOCAL: dict[str, str] = {}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_LIVE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,11 +39,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
     atexit.register(drop, spark, path)
+    _LIVE.add(path)
     return path
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch table, with the folder made for it, that nothing reads any more."""
+    if path not in _LIVE:
+        return
+    _LIVE.discard(path)
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
@@ -68,5 +73,16 @@ def release(*frames: DataFrame) -> None:
             drop(frame.sparkSession, path)
 
 
+def live() -> frozenset[str]:
+    """Scratch tables that are there now."""
+    return frozenset(_LIVE)
+
+
+def sweep(spark: SparkSession, before: frozenset[str], kept: DataFrame) -> None:
+    """Delete the scratch tables made since ``before``, but the one that ``kept`` reads: for a caller that has written its result."""
+    for path in live() - before - {_PATHS.get(kept, "")}:
+        drop(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

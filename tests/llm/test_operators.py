@@ -503,3 +503,12 @@ def test_scratch_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
     assert os.path.isdir(path)
     _store.release(kept)
     assert not os.path.exists(os.path.dirname(path))
+
+
+def test_scratch_tables_of_a_stage_go_once_it_is_written(spark):
+    from tessera.llm import _store
+
+    before = _store.live()
+    corpus_pipeline.run(spark, SF).count()
+    left = _store.live() - before
+    assert len(left) == 1 and "encode" in next(iter(left))
