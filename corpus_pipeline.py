@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, linededup, neardup, pieces, quality
-from tessera.llm._store import materialise, release, table
+from tessera.llm._store import live, materialise, release, sweep, table
 
 
 def _apart(docs: DataFrame, *used: str) -> DataFrame:
@@ -84,9 +84,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again; a stage's table goes once the next is written."""
+    """All stages over ``documents``, each written as Parquet and read again; what a stage read and made on its way goes once it is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, materialise(spark, stage(spark, docs, sf_dir), name)
+        before, there = docs, live()
+        docs = materialise(spark, stage(spark, before, sf_dir), name)
+        sweep(spark, there, docs)
         release(before)
     return docs
