@@ -94,8 +94,9 @@ def test_dart_signatures_weigh_shingles():
 def test_darts_of_a_region_follow_its_area():
     h = mix(np.arange(1, 200_001, dtype=np.uint64))
     for mean in (2.0**-8, 0.125, 1.0, 64.0, 1024.0):
-        dart, region = neardup._darts(mean, h)
-        n = np.bincount(region, minlength=len(h))
+        some = h[: 200_000 if mean <= 1 else 5_000]
+        dart, region = neardup._darts(mean, some)
+        n = np.bincount(region, minlength=len(some))
         assert abs(n.mean() - mean) < 0.02 * mean + 1e-3 and abs(n.var() - mean) < 0.05 * mean + 1e-3
         assert len(np.unique(dart)) == len(dart)
 
