@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blend, entities, pairs, rank, sampling, scorers, select, validate
+from tessera.operators import blend, entities, lexical, pairs, rank, sampling, scorers, select, validate
 from tessera.schema import OWL, RDFS, SKOS, role_rows, roles
 from tessera.sources import files, ofn, pools, rdfxml
 from tessera.streaming import incremental
@@ -306,6 +306,22 @@ def test_every_part_is_a_query(spark):
     assert got.select("query_idx").distinct().count() == parts
 
 
+def test_groups_of_any_size_are_shared_out(spark):
+    from tessera.plans import catalogue
+
+    rows = [(k, "g", 1, [f"part {k % 7}", "x"], [["part", str(k % 7)], ["x"]]) for k in range(40)] + [(99, "h", 1, ["y"], [["y"]]), (98, None, 1, ["y"], [["y"]]), (None, "h", 1, ["y"], [["y"]]), (5, "g", 1, ["z"], [["z"]])]
+    frame = spark.createDataFrame(rows, "id long, g string, n int, names array<string>, sets array<array<string>>")
+    got = lexical.group_features(frame, "id", "g", "n", block=8)
+    held = got.withColumn("task", F.spark_partition_id()).collect()
+    keys = [*range(40), 5]
+    assert sorted((r.query_idx, r.cand) for r in held) == sorted((a, b) for a in keys for b in keys if a != b)
+    assert len({r.task for r in held}) > 4  # one group, several tasks
+    whole = lexical.group_features(frame, "id", "g", "n", block=1000)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got.collect()))
+    found = catalogue.QUERIES["lex_full_score"](spark, "/root/testdata/sf0.001")
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_lists_of_any_length_rings_and_shared_tails(spark):
     cells = [(f"a{k}", str(k), f"a{k + 1}" if k < 3000 else None) for k in range(3001)]
     cells += [("r1", "x", "r2"), ("r2", "y", "r1"), ("s1", "p", "t"), ("s2", "q", "t"), ("t", "z", None), ("alone", "w", "gone"), ("n", None, None)]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -82,6 +83,26 @@ def test_lcs_by_dynamic_programming(a, b):
     assert similarity.lcs_length(a, b) == row[-1]
 
 
+def test_feature_tables_equal_single_pairs(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    listed = [[word(rng.choice((0, 1, 5, 20, 64, 65, 90))) for _ in range(rng.choice((1, 1, 2, 3)))] for _ in range(24)] + [[""], ["ab c", ""], ["ab c"]]
+    a, b = listed[:20] + listed[24:], listed[10:]
+    frame = spark.createDataFrame([(x, y) for x in a for y in b], "a array<string>, b array<string>")
+    x, y = F.col("a"), F.col("b")
+    e_name = similarity.name_equal(x, y)
+    rows = frame.select(similarity.label_equal(x, y), e_name, similarity.best_jaccard(similarity.token_sets(x), similarity.token_sets(y)), similarity.ratio_or_exact(e_name, x, y)).collect()
+    sets = {n: s for n, s in spark.createDataFrame([(n,) for names in listed for n in names], "n string").select("n", text.token_set(F.col("n"))).collect()}
+    tables = similarity.feature_table(*([(names, [sets[n] for n in names]) for names in side] for side in (a, b)))
+    assert [tuple(r) for r in rows] == list(zip(*(t.ravel().tolist() for t in tables), strict=True))
+
+
+def test_bround_of_arrays(spark):
+    values = [k / 640 for k in range(641)] + [k / 7 for k in range(60)] + [0.0000005, 0.0000015, 0.1234565, 1.0, 2.5e-6]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.bround("v", 6)).collect()]
+    assert similarity.bround(np.array(values), 6).tolist() == want
+
+
 def test_indel_ratio():
     assert similarity.indel_ratio("kitten", "sitting") == pytest.approx(8 / 13) and similarity.indel_ratio("", "") == 1.0
 
