@@ -53,9 +53,13 @@ def read_done(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def score_resumably(spark: SparkSession, pool: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, size: int = 32) -> DataFrame:
-    """Score what is pending and replace whole chunks; repeating it changes nothing."""
+    """Score what is pending and replace whole chunks; repeating it changes nothing.
+
+    Rows are dealt by chunk before they are written: a chunk is one file, where
+    otherwise every task would leave one for every chunk it has rows of.
+    """
     todo = pending(pool, read_done(spark, path), size)
-    scored = score(todo.drop("chunk_id")).withColumn("chunk_id", F.floor(F.col("query_idx") / size))
+    scored = score(todo.drop("chunk_id")).withColumn("chunk_id", F.floor(F.col("query_idx") / size)).repartition("chunk_id")
     scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
     return spark.read.parquet(path)
 

@@ -273,6 +273,19 @@ def test_resumable_scoring(spark, tmp_path):
     assert incremental.complete_blocks(rows, 4).first()[:] == (2, 8)
 
 
+def test_a_chunk_is_one_file(spark, tmp_path):
+    pool = spark.createDataFrame([(q, "s", None, ["a", "b"]) for q in range(64)], "query_idx bigint, src string, gold string, cands array<string>").repartition(8, "query_idx")
+    incremental.score_resumably(spark, pool, lambda f: pairs.explode_pool(f).withColumn("score", F.lit(1.0)), str(tmp_path / "out"), 16)
+    assert [len(list(p.glob("*.parquet"))) for p in sorted((tmp_path / "out").glob("chunk_id=*"))] == [1, 1, 1, 1]
+
+
+def test_vectors_are_not_sorted_by_pair(spark):
+    from tessera.plans import adapters
+
+    plan = adapters.vector_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("RepartitionByExpression [query_idx") < plan.index("Generate posexplode")
+
+
 def test_streamed_scoring(spark, tmp_path):
     spark.createDataFrame([(0, "s", None, ["a", "b"])], "query_idx bigint, src string, gold string, cands array<string>").write.parquet(str(tmp_path / "in"))
     done = incremental.stream_scores(spark, str(tmp_path / "in"), lambda f: pairs.explode_pool(f).withColumn("score", F.lit(1.0)), str(tmp_path / "out"), str(tmp_path / "cp"))
