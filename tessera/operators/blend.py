@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import blend, minmax, sigmoid
-from tessera.operators.rank import gold_ranks, metrics, ranked
+from tessera.operators.rank import gold_ranks_of, metrics, ranked
 
 MODES = ("minmax", "prob")
 ALPHAS = tuple(k / 10 for k in range(11))
@@ -28,16 +28,17 @@ def apply(scores: DataFrame, mode: str, alpha: float, places: int = 9, **columns
 def grid(spark: SparkSession, scores: DataFrame, places: int = 9, temperature: float = 1.0) -> DataFrame:
     """Measures of the 22 choices in one job.
 
-    Scaled scores are computed once, before the fixed list of choices is
-    exploded in the row; one window ranks all choices.
+    Scaled scores are computed once and the choices are a list inside a pair's
+    row; what is counted of them is a row for each query and choice, so pairs
+    are not sorted once more for each choice.
     """
     both = scaled(scores, "minmax").withColumnsRenamed({"learned": "m_learned", "lexical": "m_lexical"})
     both = scaled(both, "prob", temperature=temperature)
     choices = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(a).alias("alpha")) for m in MODES for a in ALPHAS))
-    each = both.withColumn("choice", F.explode(choices)).select("query_idx", "cand_pos", "cand", "gold", "m_learned", "m_lexical", "learned", "lexical", "choice.mode", "choice.alpha")
-    mixed = F.when(F.col("mode") == "minmax", blend(F.col("alpha"), F.col("m_learned"), F.col("m_lexical"))).otherwise(blend(F.col("alpha"), F.col("learned"), F.col("lexical")))
-    rows = ranked(each.withColumn("score", F.bround(mixed, places)), "score", "mode", "alpha")
-    return metrics(gold_ranks(rows, "mode", "alpha"), "mode", "alpha")
+    side = lambda learned, lexical: F.transform(F.array(*map(F.lit, ALPHAS)), lambda a: F.bround(blend(a, F.col(learned), F.col(lexical)), places))
+    listed = both.select("query_idx", "cand_pos", "cand", "gold", F.concat(side("m_learned", "m_lexical"), side("learned", "lexical")).alias("scores"))
+    ranks = gold_ranks_of(listed, "scores").withColumn("choice", F.get(choices, F.col("k")))
+    return metrics(ranks.select("choice.mode", "choice.alpha", "gold_rank"), "mode", "alpha")
 
 
 def choose(measured: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _sane(score: str) -> Column:
+    return F.when(F.isnan(score), F.raise_error(F.lit("a score is not a number")).cast("double")).otherwise(F.col(score))
+
+
 def ranked(scores: DataFrame, score: str, *by: str) -> DataFrame:
     """``rank`` from 1 within a query (and ``by``), best score first, ties by position; NaN is an error (Q3)."""
-    sane = F.when(F.isnan(score), F.raise_error(F.lit("a score is not a number")).cast("double")).otherwise(F.col(score))
     w = Window.partitionBy(*by, "query_idx").orderBy(F.desc("_score"), "cand_pos")
-    return scores.withColumn("_score", sane).withColumn("rank", F.row_number().over(w)).drop("_score")
+    return scores.withColumn("_score", _sane(score)).withColumn("rank", F.row_number().over(w)).drop("_score")
 
 
 def ranking(rows: DataFrame) -> DataFrame:
@@ -24,6 +27,21 @@ def gold_ranks(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, "query_idx").agg(F.min(F.when(F.col("cand") == F.col("gold"), F.col("rank"))).alias("gold_rank"))
 
 
+def gold_ranks_of(scores: DataFrame, listed: str) -> DataFrame:
+    """W01, W04 by several scores at once, an array of them for each pair: per query and place ``k`` in the array what ``gold_ranks`` gives of ``ranked``.
+
+    A rank is one more than the number of candidates before it, which is
+    counted: pairs are sorted by query only, not again for each score.
+    """
+    gold = F.when(F.col("cand") == F.col("gold"), F.struct(F.col("cand_pos").alias("at"), F.col(listed).alias("scores")))
+    held = scores.select("query_idx", "cand_pos", listed, F.collect_list(gold).over(Window.partitionBy("query_idx")).alias("golds"))
+    each = held.select("query_idx", "cand_pos", listed, F.explode_outer("golds").alias("g")).select("query_idx", "cand_pos", "g", F.posexplode(listed).alias("k", "_score"))
+    place = lambda score, at: F.struct(score.alias("score"), (-at).alias("at"))
+    before = place(_sane("_score"), F.col("cand_pos")) > place(F.get("g.scores", F.col("k")), F.col("g.at"))
+    counted = each.groupBy("query_idx", "k", F.col("g.at").alias("at")).agg(F.count_if(before).alias("n"))
+    return counted.groupBy("query_idx", "k").agg(F.min(F.when(F.col("at").isNotNull(), F.col("n") + 1)).cast("int").alias("gold_rank"))
+
+
 def metrics(ranks: DataFrame, *by: str, places: int = 6) -> DataFrame:
     """MRR and Hits@1/5/10; a missing gold counts 0, no queries give 0.
 

@@ -148,6 +148,22 @@ def test_blend_grid_ties(spark):
         blend.choose(spark.createDataFrame([("minmax", 0.0, 0.0, 0)], "mode string, alpha double, mrr double, queries bigint")).collect()
 
 
+def test_blend_grid_ranks_pairs_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(q, f"c{p % 5}" if q % 4 == 1 else f"c{p}", p, float(rng.integers(-2, 3)), None if q == 2 and p < 3 else float(rng.integers(0, 3)) / 2, None if q == 3 else "c9" if q == 5 else "c1") for q in range(40) for p in range(8)]
+    s = spark.createDataFrame(rows, "query_idx bigint, cand string, cand_pos int, margin double, lex double, gold string")
+    grid = blend.grid(spark, s)
+    got = {(r["mode"], r.alpha): r[2:] for r in grid.collect()}
+    for mode, alpha in (("minmax", 0.0), ("minmax", 0.3), ("prob", 0.5), ("prob", 1.0)):
+        assert got[mode, alpha] == tuple(rank.metrics(rank.gold_ranks(blend.apply(s, mode, alpha))).first())
+    assert len(got) == 22 and grid.schema["alpha"].dataType.simpleString() == "double"
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    assert sorts and all("Sort [query_idx" in line and "," not in line.split("], false")[0] for line in sorts), sorts
+    with pytest.raises(Exception, match="not a number"):
+        blend.grid(spark, s.withColumn("lex", F.lit(float("nan")))).collect()
+
+
 def test_metrics(spark):
     ranks = spark.createDataFrame([(k, r) for k, r in enumerate([1, 2, 3, 7, 100, 1, 1, 13])], "query_idx int, gold_rank int")
     m = rank.metrics(ranks).first()
