@@ -302,6 +302,29 @@ def test_vectors_are_not_sorted_by_pair(spark):
     assert "Window" not in plan and plan.index("RepartitionByExpression [query_idx") < plan.index("Generate posexplode")
 
 
+@pytest.mark.parametrize("name", ["score_file"])
+def test_no_vector_is_dealt_with_a_pair(spark, monkeypatch, name):
+    from tessera.plans import catalogue
+
+    frames = []
+    monkeypatch.setattr(pools, "write_scores", lambda s, *_: frames.append(s))
+    monkeypatch.setattr(pools, "read_scores", lambda *_: frames[0].orderBy("query_idx", "cand_pos"))
+    dealt = 0
+
+    def tables(node) -> int:
+        nonlocal dealt
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        n = sum(map(tables, below)) or 1
+        # queries and candidates are two readings each, one of them for the count
+        if n > 2 and node.nodeName() in ("Window", "Sort", "Aggregate", "RepartitionByExpression"):
+            dealt += 1
+            assert "float" not in below[0].schema().json(), node.nodeName()
+        return n
+
+    tables(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    assert dealt
+
+
 def test_streamed_scoring(spark, tmp_path):
     spark.createDataFrame([(0, "s", None, ["a", "b"])], "query_idx bigint, src string, gold string, cands array<string>").write.parquet(str(tmp_path / "in"))
     done = incremental.stream_scores(spark, str(tmp_path / "in"), lambda f: pairs.explode_pool(f).withColumn("score", F.lit(1.0)), str(tmp_path / "out"), str(tmp_path / "cp"))
