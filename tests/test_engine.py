@@ -302,7 +302,7 @@ def test_vectors_are_not_sorted_by_pair(spark):
     assert "Window" not in plan and plan.index("RepartitionByExpression [query_idx") < plan.index("Generate posexplode")
 
 
-@pytest.mark.parametrize("name", ["score_file", "api_tie_count", "macro_mean", "best_blend", "blend_grid", "blend_rank", "minmax_scores", "prob_scores", "chunk_throughput"])
+@pytest.mark.parametrize("name", ["score_file", "api_tie_count", "macro_mean", "best_blend", "blend_grid", "blend_rank", "minmax_scores", "prob_scores", "chunk_throughput", "dev_metrics"])
 def test_no_vector_is_dealt_with_a_pair(spark, monkeypatch, name):
     from tessera.plans import catalogue
 
