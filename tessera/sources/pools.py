@@ -22,13 +22,14 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     """Rows of one text scan with their order as ``ord`` (dense from 0, file after file).
 
     Order is (file, place of the block, order inside it); the running number
-    adds the sizes of the blocks before, so only one row per block is gathered.
+    adds the sizes of the blocks before, so only one row per block is gathered
+    and sent to the lines, which stay where they are.
     """
     block = ["_file", "_block"]
     placed = lines.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_in": F.monotonically_increasing_id()})
     sizes = placed.groupBy(*block).agg(F.min("_in").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(before.select(*block, "_first", "_before"), block).withColumn("ord", F.col("_before") + F.col("_in") - F.col("_first")).drop(*block, "_in", "_first", "_before")
+    return placed.join(F.broadcast(before.select(*block, "_first", "_before")), block).withColumn("ord", F.col("_before") + F.col("_in") - F.col("_first")).drop(*block, "_in", "_first", "_before")
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
@@ -52,9 +53,11 @@ def write_pool(pool: DataFrame, path: str) -> None:
 def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Scores by (query, position); of repeated keys the last row of the file stays."""
     raw = with_line_numbers(spark.read.text(path).select("value", "_metadata")).where("ord > 0")
-    rows = raw.select("ord", F.from_csv(F.col("value"), schema, {"sep": "\t"}).alias("r")).where("r.query_idx is not null")  # no header of a further file
-    last = rows.groupBy(F.col("r.query_idx").alias("q"), F.col("r.cand_pos").alias("p")).agg(F.max_by("r", "ord").alias("r"))
-    return last.select("r.*")
+    rows = raw.select("ord", F.from_csv(F.col("value"), schema, {"sep": "\t"}).alias("r")).select("ord", "r.*").where("query_idx is not null")  # no header of a further file
+    key, names = ["query_idx", "cand_pos"], rows.columns[1:]
+    # dealt as they are: keys hardly repeat, so sorting and grouping lines ahead of that would save nothing
+    last = rows.repartition(*key).groupBy(*key).agg(F.max_by(F.struct(*(c for c in names if c not in key)), "ord").alias("r"))
+    return last.select(*(c if c in key else f"r.{c}" for c in names))
 
 
 def write_scores(scores: DataFrame, path: str, places: dict[str, int]) -> None:

@@ -325,6 +325,25 @@ def test_no_vector_is_dealt_with_a_pair(spark, monkeypatch, name):
     assert dealt
 
 
+def test_read_scores_are_dealt_once(spark, tmp_path):
+    head = "query_idx\tsrc\tcand\tcand_pos\tscore"
+    for k, lines in enumerate((["1\ts\ta\t0\t0.5", "1\ts\tb\t1\t0.25", "2\ts\ta\t\t0.1"], ["1\ts\tc\t0\t", "2\ts\tb\t\t0.2", "3\ts\ta\t0\t0.3"])):
+        (tmp_path / f"part-{k}.csv").write_text("\n".join([head, *lines]) + "\n")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as over files of any size
+    try:
+        got = pools.read_scores(spark, str(tmp_path), "query_idx bigint, src string, cand string, cand_pos int, score double")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((tuple(r) for r in got.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got.columns == head.split("\t")
+    assert rows == [(1, "s", "b", 1, 0.25), (1, "s", "c", 0, None), (2, "s", "b", None, 0.2), (3, "s", "a", 0, 0.3)]
+    lines = plan.split("BroadcastExchange")[0]
+    assert "SortMergeJoin" not in plan and lines.count("Exchange") == 1 and lines.index("SortAggregate") < lines.index("Exchange")
+    assert "Aggregate" not in lines[lines.index("Exchange") :]
+
+
 def test_streamed_scoring(spark, tmp_path):
     spark.createDataFrame([(0, "s", None, ["a", "b"])], "query_idx bigint, src string, gold string, cands array<string>").write.parquet(str(tmp_path / "in"))
     done = incremental.stream_scores(spark, str(tmp_path / "in"), lambda f: pairs.explode_pool(f).withColumn("score", F.lit(1.0)), str(tmp_path / "out"), str(tmp_path / "cp"))
