@@ -1,6 +1,7 @@
 """Operators and sources on fixtures."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -344,6 +345,16 @@ def test_read_scores_are_dealt_once(spark, tmp_path):
     assert "Aggregate" not in lines[lines.index("Exchange") :]
 
 
+@pytest.mark.parametrize("name", ["api_tie_count"])
+def test_pools_are_made_once_in_parts_that_grow(spark, monkeypatch, name):
+    from tessera.plans import adapters, catalogue
+
+    monkeypatch.setattr(adapters, "VECTOR_PART_QUERIES", 20)
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(bucket#\d+L, (\d+)\)", plan) == ["25", "25"]
+    assert plan.count("sort_array(") == 1
+
+
 def test_streamed_scoring(spark, tmp_path):
     spark.createDataFrame([(0, "s", None, ["a", "b"])], "query_idx bigint, src string, gold string, cands array<string>").write.parquet(str(tmp_path / "in"))
     done = incremental.stream_scores(spark, str(tmp_path / "in"), lambda f: pairs.explode_pool(f).withColumn("score", F.lit(1.0)), str(tmp_path / "out"), str(tmp_path / "cp"))
