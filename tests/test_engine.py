@@ -345,7 +345,7 @@ def test_read_scores_are_dealt_once(spark, tmp_path):
     assert "Aggregate" not in lines[lines.index("Exchange") :]
 
 
-@pytest.mark.parametrize("name", ["api_tie_count", "macro_mean", "blend_rank", "minmax_scores", "prob_scores", "chunk_throughput"])
+@pytest.mark.parametrize("name", ["api_tie_count", "macro_mean", "blend_rank", "minmax_scores", "prob_scores", "chunk_throughput", "dev_metrics"])
 def test_pools_are_made_once_in_parts_that_grow(spark, monkeypatch, name):
     from tessera.plans import adapters, catalogue
 
