@@ -345,6 +345,55 @@ def test_read_scores_are_dealt_once(spark, tmp_path):
     assert "Aggregate" not in lines[lines.index("Exchange") :]
 
 
+def _moves(frame) -> str:
+    """The plan of ``frame`` without what is broadcast: a row for each block of a file."""
+    return frame._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_lines_of_keys_that_do_not_repeat_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("query_idx\tcand_pos\tscore\n" + "".join(f"{q}\t{p}\t0.5\n" for q in range(3) for p in range(128)))
+    (tmp_path / "b.csv").write_text("query_idx\tcand_pos\tscore\n4\t127\t0.5\n4\t0\t0.5\n")
+    got = pools.read_scores(spark, str(tmp_path), "query_idx bigint, cand_pos int, score double")
+    assert sorted(r[:2] for r in got.collect()) == [(q, p) for q in range(3) for p in range(128)] + [(4, 0), (4, 127)]
+    assert "Exchange" not in _moves(got)
+
+
+@pytest.mark.parametrize("again", ["1\t127\t0.2", "1\t128\t0.2", "1\t-1\t0.2", "1\t\t0.2"])
+def test_lines_of_repeated_keys_are_dealt_in_parts_that_grow(spark, monkeypatch, tmp_path, again):
+    monkeypatch.setattr(pools, "PART_LINES", 10)
+    key = tuple(int(x) if x else None for x in again.split("\t")[:2])
+    for k, first in ((0, 0), (1, 64)):
+        lines = [f"1\t{p}\t0.1" for p in range(first, first + 64)] + [again.replace("0.2", "0.1") if k == 0 else again]
+        (tmp_path / f"{k}.csv").write_text("\n".join(["query_idx\tcand_pos\tscore", *lines]) + "\n")
+    got = pools.read_scores(spark, str(tmp_path), "query_idx bigint, cand_pos int, score double")
+    rows = {(r.query_idx, r.cand_pos): r.score for r in got.collect()}
+    assert got.count() == len(rows) == 128 + (key not in {(1, p) for p in range(128)})
+    assert rows[key] == 0.2
+    assert "cand_pos#" in (plan := _moves(got)) and ", 13), REPARTITION_BY_NUM" in plan
+
+
+def test_score_file_is_in_order_in_parts_that_grow(spark, monkeypatch, tmp_path):
+    from tessera.plans import adapters, catalogue
+
+    monkeypatch.setattr(adapters, "VECTOR_PART_QUERIES", 50)
+    monkeypatch.setattr(catalogue, "scratch_path", lambda *_: str(tmp_path / "scores"))
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    # ids as far apart as ids can be, two at once, one missing
+    far = e.withColumn("vec_id", F.when(F.col("vec_id") < 100, F.col("vec_id") - 4).when(F.col("vec_id") == 499, F.lit(None)).when(F.col("vec_id") == 498, 490).otherwise((1 << 62) + F.col("vec_id")))
+    for name, frame in (("plain", e), ("odd", far)):
+        frame.write.parquet(str(tmp_path / name / "embeddings.parquet"))
+        got = catalogue.score_file(spark, str(tmp_path / name))
+        want = {(r.query_idx, r.cand_pos): r.margin for r in adapters.vector_scores(spark, str(tmp_path / name)).collect()}
+        found = [(r.query_idx, r.cand_pos) for r in got.collect()]
+        assert len(set(found)) == len(found) == len(want) > 30000 and set(found) == set(want)
+        files = sorted((tmp_path / "scores").glob("part-*"))
+        lines = [[(int(x[0]), int(x[3])) for x in map(lambda line: line.split("\t"), f.read_text().splitlines()[1:])] for f in files]
+        assert len(files) == 10 and max(map(len, lines)) < 7500
+        assert (flat := [x for part in lines for x in part]) == sorted(flat)
+        if name == "plain":
+            assert "Exchange" not in _moves(got) and all(r.margin == want[r.query_idx, r.cand_pos] for r in got.collect())
+
+
 @pytest.mark.parametrize("name", ["api_tie_count", "macro_mean", "blend_rank", "minmax_scores", "prob_scores", "chunk_throughput", "dev_metrics"])
 def test_pools_are_made_once_in_parts_that_grow(spark, monkeypatch, name):
     from tessera.plans import adapters, catalogue
